@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ssaflow.llm import tokens
+from ssaflow.llm import packing, tokens
 from ssaflow.llm.common import read_table, small_batches
 
 
@@ -17,8 +17,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_counts": op5_token_counts}
+    return {"op3_packing": op3_packing, "op5_token_counts": op5_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:

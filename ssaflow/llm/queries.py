@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ssaflow.llm import packing, tokens
+from ssaflow.llm import media, packing, tokens
 from ssaflow.llm.common import read_table, small_batches
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return media.media_columns(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
@@ -24,7 +29,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_packing": op3_packing, "op5_token_counts": op5_token_counts}
+    return {"op3_packing": op3_packing, "op4_media_columns": op4_media_columns, "op5_token_counts": op5_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ssaflow.llm import media, packing, tokens
+from ssaflow.llm import media, packing, tokens, warc
 from ssaflow.llm.common import read_table, small_batches
 
 
@@ -22,6 +22,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    archive = warc.write_archive(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return warc.read_summaries(spark, archive)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
@@ -29,8 +35,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_packing": op3_packing, "op4_media_columns": op4_media_columns, "op5_token_counts": op5_token_counts}
+    return {"op2_warc": op2_warc, "op3_packing": op3_packing, "op4_media_columns": op4_media_columns, "op5_token_counts": op5_token_counts}
+
+
+OP2_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+     o as (select html, max(page_id) as owner from p group by html)
+select p.page_id, cast(octet_length(encode(p.html)) as bigint) as payload_bytes, sha1(p.html) as payload_digest,
+       case when octet_length(encode(p.html)) >= 1000 and p.page_id < owner then 'revisit' else 'response' end as record_type,
+       case when octet_length(encode(p.html)) >= 1000 and p.page_id < owner then owner end as refers_to
+from p join o on p.html = o.html
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": OP2_SQL}

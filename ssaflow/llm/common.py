@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -129,3 +130,18 @@ def batches(it: Iterator[pa.RecordBatch], schema: pa.Schema, rows) -> Iterator[p
     for batch in it:
         cols = rows(batch)
         yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_blocks(data: bytes, size: int = 1 << 22) -> Iterator[list[bytes]]:
+    """The words of a text in lists of bounded size; only a single word may be longer."""
+    at = 0
+    while len(data) - at > size:
+        cut = _SPACE.search(data, at + size)
+        if not cut:
+            break
+        yield data[at : cut.start()].split()
+        at = cut.end()
+    yield data[at:].split() if at else data.split()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ssaflow.llm import media, packing, tokens, warc
+from ssaflow.llm import media, packing, simhash, tokens, warc
 from ssaflow.llm.common import read_table, small_batches
 
 
@@ -34,8 +34,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), width=3, radius=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_warc": op2_warc, "op3_packing": op3_packing, "op4_media_columns": op4_media_columns, "op5_token_counts": op5_token_counts}
+    return {"op2_warc": op2_warc, "op3_packing": op3_packing, "op4_media_columns": op4_media_columns, "op5_token_counts": op5_token_counts, "op10_simhash": op10_simhash}
 
 
 OP2_SQL = """

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ssaflow.llm.common import materialise
+from ssaflow.llm.tokens import byte_alphabet
 
-#: Chunks whose ids a worker remembers.
-CACHE_ENTRIES = 300_000
+#: Chunks, and pieces, whose ids a worker remembers.
+CACHE_ENTRIES = 500_000
 #: Partitions whose leftovers are merged together.
 MERGE_PARTITIONS = 8
 
@@ -36,19 +38,18 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class _PieceIds(dict):
-    """The ids of single pieces that are normalised already."""
+    """The ids of single pieces that are normalised already, from the library's model alone."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, library) -> None:
         super().__init__()
-        from tokenizers import Tokenizer, normalizers
-
-        self.library = Tokenizer.from_file(path)
-        self.library.normalizer = normalizers.Sequence([])
+        self.model = library.model
+        self.byte_chars = {b: ch for ch, b in byte_alphabet().items()}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        ids = self[piece] = np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        symbols = piece if piece.isascii() and piece.isprintable() else "".join([self.byte_chars[b] for b in piece.encode()])
+        ids = self[piece] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
         return ids
 
 
@@ -67,7 +68,7 @@ class ChunkIds(dict):
         self.library.no_truncation()
         self.library.no_padding()
         self.normal = self.library.normalizer.normalize_str
-        self.pieces, self.cut = _PieceIds(path), regex.compile(PIECES)
+        self.pieces, self.cut = _PieceIds(self.library), regex.compile(PIECES)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -76,7 +77,13 @@ class ChunkIds(dict):
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         plain = chunk.lower() if chunk.isascii() else self.normal(chunk)
-        ids = self[chunk] = b"".join(map(self.pieces.__getitem__, self.cut.findall(plain)))
+        if plain.isalpha():
+            ids = self.pieces[plain]
+        elif plain[-1:] in ".,:;!?" and plain[:-1].isalpha():
+            ids = self.pieces[plain[:-1]] + self.pieces[plain[-1]]
+        else:
+            ids = b"".join(map(self.pieces.__getitem__, self.cut.findall(plain)))
+        self[chunk] = ids
         return ids
 
     def of_text(self, text: str) -> bytes:

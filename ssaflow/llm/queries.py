@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ssaflow.llm import media, mixing, packing, simhash, tokens, warc
+from ssaflow.llm import media, mixing, packing, simhash, tokens, toxicity, warc
 from ssaflow.llm.common import read_table, small_batches
 
 
@@ -38,13 +38,20 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"), share=1.5, cap=2.0, weights=(3.0, 1.0, 2.0))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), width=3, radius=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_warc": op2_warc, "op3_packing": op3_packing, "op4_media_columns": op4_media_columns, "op5_token_counts": op5_token_counts, "op7_mixing": op7_mixing, "op10_simhash": op10_simhash}
+    return {"op2_warc": op2_warc, "op3_packing": op3_packing, "op4_media_columns": op4_media_columns, "op5_token_counts": op5_token_counts, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op10_simhash": op10_simhash}
 
 
 OP2_SQL = """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ssaflow.llm import media, mixing, packing, simhash, tokens, toxicity, warc
+from ssaflow.llm import media, mixing, packing, pii, simhash, tokens, toxicity, warc
 from ssaflow.llm.common import read_table, small_batches
 
 
@@ -45,13 +45,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return pii.summary(pii.find(docs, pii.fit(spark)))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), width=3, radius=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_warc": op2_warc, "op3_packing": op3_packing, "op4_media_columns": op4_media_columns, "op5_token_counts": op5_token_counts, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op10_simhash": op10_simhash}
+    return {"op2_warc": op2_warc, "op3_packing": op3_packing, "op4_media_columns": op4_media_columns, "op5_token_counts": op5_token_counts, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
 
 
 OP2_SQL = """

@@ -275,7 +275,7 @@ def fit(spark: SparkSession, sentences: int = 600, precision: float = 0.97) -> P
                 right += y
                 if right / n >= precision and (n == len(mine) or mine[n][0] < s):
                     best = s
-            thresholds[kind] = best
+            thresholds[kind] = max(best, 0.0)
         _MODELS[key] = PiiModel(tuple(trees), thresholds)
     return _MODELS[key]
 

@@ -20,7 +20,7 @@ WORD_RE = "[^\\x20\\x09-\\x0D]+"
 BATCH_ROWS = 512
 
 #: Data that one bucket of a regrouping should hold at most, on average.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 64 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -81,7 +81,7 @@ def read_file(uri: str, name: str) -> bytes:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the size of df, from its files."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return min(size, 1 << 60)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ssaflow.llm import media, mixing, packing, pii, simhash, tokens, toxicity, warc
+from ssaflow.llm import media, mixing, packing, pii, simhash, substrings, tokens, toxicity, warc
 from ssaflow.llm.common import read_table, small_batches
 
 
@@ -22,6 +22,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     archive = warc.write_archive(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
@@ -56,8 +61,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_warc": op2_warc, "op3_packing": op3_packing, "op4_media_columns": op4_media_columns, "op5_token_counts": op5_token_counts, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
-
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_warc": op2_warc, "op3_packing": op3_packing, "op4_media_columns": op4_media_columns, "op5_token_counts": op5_token_counts, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
+
+
+OP1_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+     g as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d)),
+     m as (select s, min(doc_id) as least from g group by s),
+     f as (select distinct doc_id, p from (select g.doc_id, unnest(range(g.i, g.i + 13)) as p from g join m using (s) where m.least < g.doc_id)),
+     u as (select doc_id, w[p] as x, p from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d)),
+     k as (select u.doc_id, string_agg(x, ' ' order by u.p) as kept, count(*) as n from u left join f on u.doc_id = f.doc_id and u.p = f.p where f.p is null group by u.doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join k on d.doc_id = k.doc_id
+"""
 
 OP2_SQL = """
 with p as (select page_id, coalesce(html, '') as html from pages),
@@ -70,4 +86,4 @@ from p join o on p.html = o.html
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL}

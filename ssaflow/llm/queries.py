@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ssaflow.llm import media, mixing, packing, pii, simhash, substrings, tokens, toxicity, warc
+from ssaflow.llm import embeddings, media, mixing, packing, pii, simhash, substrings, tokens, toxicity, warc
 from ssaflow.llm.common import read_table, small_batches
 
 
@@ -39,6 +39,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), threshold=0.95)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"), share=1.5, cap=2.0, weights=(3.0, 1.0, 2.0))
 
@@ -61,7 +65,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_warc": op2_warc, "op3_packing": op3_packing, "op4_media_columns": op4_media_columns, "op5_token_counts": op5_token_counts, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_warc": op2_warc, "op3_packing": op3_packing, "op4_media_columns": op4_media_columns, "op5_token_counts": op5_token_counts, "op6_embedding_dedup": op6_embedding_dedup, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
 
 
 OP1_SQL = r"""

@@ -70,12 +70,17 @@ def _by_source(rows: DataFrame, other: DataFrame, small: bool) -> DataFrame:
     return rows.join(other, rows["source"].eqNullSafe(other["_source"])).drop("_source")
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence[float] = WEIGHTS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: id, size, source_size, target (both of its source) and taken, the words the mix takes."""
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence[float] = WEIGHTS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[Column] = ()) -> DataFrame:
+    """One row per document: id, size, source_size, target (both of its source) and taken, the words the mix takes.
+
+    What keep has goes along as _keep0, _keep1, ..., without a shuffle but for the ranges at the budgets' ends.
+    """
+    kept = [f"_keep{k}" for k in range(len(keep))]
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD_RE)).cast("bigint").alias("size"),
         (-F.log(uniform(seed, F.col(id_col).cast("string"), text)) / quality(text)).alias("key"), F.xxhash64(text).alias("tie"),
+        *(c.alias(n) for c, n in zip(keep, kept, strict=True)),
     )
     sized = materialise(sized, "mixing")
     # one row for each source comes to the driver
@@ -103,4 +108,20 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence
     at_edge = rows.where("range = edge").withColumn("left", F.col("budget") - F.col("before") - F.coalesce(F.sum("size").over(ahead), F.lit(0)))
     at_edge = at_edge.withColumn("extra", F.greatest(F.lit(0), F.least("size", "left"))).drop("left")
     taken = (F.col("epochs") * F.col("size") + F.col("extra")).cast("bigint").alias("taken")
-    return inside.unionByName(at_edge).select(F.col("doc_id").alias(id_col), "size", "source_size", "target", taken)
+    return inside.unionByName(at_edge).select(F.col("doc_id").alias(id_col), "size", "source_size", "target", taken, *kept)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself, in the columns of docs: each document once for each whole time that it is taken, and where a
+    budget ends inside one, its first words joined by spaces."""
+    names = docs.columns
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, keep=[F.col(f"`{c}`") for c in names], **how)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    rest = (F.col("taken") - whole * F.col("size")).cast("int")
+    # the number of words of each copy
+    copies = F.concat(F.array_repeat(F.col("size").cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    out = taken.select("*", F.explode(copies).alias("_words"))
+    text = F.col(f"_keep{names.index(text_col)}")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD_RE), F.lit(0)), 1, F.col("_words")), " ")
+    shown = F.when(F.col("_words") < F.col("size"), cut).otherwise(text)
+    return out.select(*(shown.alias(c) if c == text_col else F.col(f"_keep{k}").alias(c) for k, c in enumerate(names)))

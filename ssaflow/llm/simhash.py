@@ -119,3 +119,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(heads, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of each group the one with the smallest id stays.
+
+    Rows without an id can't be named and stay; of rows that repeat an id one stays.
+    """
+    groups = near_duplicates(docs, width, radius, id_col, text_col)
+    heads = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_head")).distinct()
+    named = docs.join(heads, docs[id_col] == heads["_head"], "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))

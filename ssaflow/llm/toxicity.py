@@ -226,6 +226,7 @@ def _idf(docs: DataFrame, vocabulary: dict[str, int]) -> list[float]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """docs: doc_id, text; labels: doc_id, toxic. Held-out documents' labels aren't used."""
+    docs = docs.select("doc_id", "text")
     sample, share = _sample(docs, labels, sample_rows)
     vocabulary = _vocabulary(sample) if sample is not None else {}
     if not vocabulary:
@@ -259,6 +260,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     return model
 
 
+def reject(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below the threshold; one narrow pass."""
+    at = docs.columns.index(text_col)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = TermCounter(model.vocabulary)
+        for batch in it:
+            yield batch.filter(pa.array([model.score(counter.count(t))[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, score, predicted and evidence, the ids of the nearest examples."""
     kind = dict(docs.dtypes)[id_col]

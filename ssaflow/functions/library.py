@@ -125,6 +125,9 @@ class DoubleTask:
 double_direct = task("direct", inputs="int", output="int", name="double_direct")(DoubleTask)
 
 
+#: Several values as one, the way they enter a task with one argument.
+pack3 = registry.add(Task("pack3", "single", ("int", "boolean", "string"), ("struct<x:int,y:boolean,z:string>",), lambda x, y, z: {"x": x, "y": y, "z": z}, lambda x, y, z: F.struct(x.alias("x"), y.alias("y"), z.alias("z"))))
+
 #: What infix operators in a workflow become.
 OPERATORS = {
     "op_add": ("+", lambda a, b: a + b, F.try_add, None), "op_sub": ("-", lambda a, b: a - b, F.try_subtract, None),

@@ -227,13 +227,16 @@ def route_pool(gpu: Column, trust: Column) -> Column:
 
 def manifest_problems(trust: Column, runtime: Column, gpu: Column) -> Column:
     """What is wrong with a manifest, as an array of messages."""
+    untrusted, wasm = trust == "untrusted", runtime == "wasm"
     rules = [
-        ("trust must be trusted, restricted or untrusted", trust.isin(*TRUST)),
-        ("runtime must be native or wasm", runtime.isin(*RUNTIMES)),
-        ("untrusted tasks need the wasm runtime", (trust != "untrusted") | (runtime == "wasm")),
-        ("gpu tasks can't use the wasm runtime", ~(gpu & (runtime == "wasm"))),
+        ("no such trust", ~trust.isin(*TRUST)),
+        ("no such runtime", ~runtime.isin(*RUNTIMES)),
+        ("an untrusted task needs the wasm runtime", untrusted & ~wasm),
+        ("the wasm runtime is for untrusted tasks", wasm & ~untrusted),
+        ("a gpu task needs the native runtime", gpu & wasm),
+        ("a gpu task can't be untrusted", gpu & untrusted),
     ]
-    return F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(text)) for text, ok in rules)), lambda x: x.isNotNull())
+    return F.filter(F.array(*(F.when(F.coalesce(broken, F.lit(True)), F.lit(text)) for text, broken in rules)), lambda x: x.isNotNull())
 
 
 def normal_pool(name: str) -> str:

@@ -33,11 +33,9 @@ def _rows(workflow, table: str, key: str, column: str, param: str | None = None)
 
 
 def multi_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ssaflow.functions.library import triple
-
-    df = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
-    x, _, z = triple.columns(F.col("o_custkey"))
-    return df.select("o_orderkey", x.alias("x"), (F.col("o_custkey") > 750).alias("y"), z.alias("z"))
+    df = _int(_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), "o_custkey")
+    out = Engine(spark).run(W.tagged, df, ["o_orderkey"]).results
+    return out.select("o_orderkey", F.col("result.x").cast("bigint").alias("x"), F.col("result.y").alias("y"), F.col("result.z").alias("z"))
 
 
 def branch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,11 +137,11 @@ def nearest_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifests made from parts: how many have each number of problems."""
+    """Manifests made from parts: how many rules each breaks."""
     part = _table(spark, sf_dir, "part", "p_partkey", "p_size")
     trust = F.when(F.col("p_size") > 25, "trusted").when(F.col("p_size") > 10, "untrusted").otherwise("other")
     runtime = F.when(F.col("p_partkey") % 2 == 0, "native").otherwise("wasm")
-    problems = control.manifest_problems(trust, runtime, F.col("p_size") > 40)
+    problems = control.manifest_problems(trust, runtime, F.col("p_size") % 5 == 0)
     return part.select("p_partkey", F.size(problems).cast("bigint").alias("problems"))
 
 
@@ -243,7 +241,7 @@ ORACLE_SQL: dict[str, str] = {
     "input_hash": "select doc_id, 'sha256:' || sha256(text) as h from documents",
     "inline_group": "select source, bool_and(strlen(text) <= 2048) as inl from documents group by source",
     "nearest_ancestor": "select conv_id, turn, last_value(case when role = 'user' then text end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as v from conversations",
-    "manifest_rules": "select p_partkey, cast((p_size <= 10)::int + (p_size > 10 and p_size <= 25 and p_partkey % 2 = 0)::int + (p_size > 40 and p_partkey % 2 <> 0)::int as bigint) as problems from part",
+    "manifest_rules": "with m as (select p_partkey, p_size <= 10 as other, p_size > 10 and p_size <= 25 as un, p_partkey % 2 <> 0 as wasm, p_size % 5 = 0 as gpu from part) select p_partkey, cast(other::int + (un and not wasm)::int + (wasm and not un)::int + (gpu and wasm)::int + (gpu and un)::int as bigint) as problems from m",
     "queue_keys": "select 'queue:' || case when p_size > 40 then 'gpu' else 'wasm' end || ':class' || (p_size % 3) as queue, count(*) as n from part group by 1",
     "input_resolution": "select p_partkey, coalesce(case when p_size % 2 = 0 then p_name end, case when p_size % 3 = 0 then p_brand end, case when p_size % 5 = 0 then p_type end, 'walked') as value from part",
     "upsert_join": "with c as (select case when o_orderkey % 2 = 0 then o_orderkey else -o_orderkey end as k from orders where o_orderkey % 3 = 0) select o_orderkey, case when k is null then o_orderstatus else 'X' end as o_orderstatus from orders left join c on k = o_orderkey union all select k, 'X' from c where k not in (select o_orderkey from orders)",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ssaflow.functions.library import (
     add, add_one, divide_by_2, double, double_direct, embed_batch, id_range, identity, is_even, is_negative, is_positive,
-    less_than, maybe_fail, maybe_fail_on_20, multiply_by_3_and_add_1, multiply_by_two, normalize, not_one, range_by_10, score, split, triple,
+    less_than, maybe_fail, maybe_fail_on_20, multiply_by_3_and_add_1, multiply_by_two, normalize, not_one, pack3, range_by_10, score, split, triple,
 )
 from ssaflow.plans.trace import workflow
 
@@ -235,6 +235,6 @@ def media_on_rows(n_nationkey):
 
 
 @workflow
-def first_of_triple(v):
-    x, y, z = triple(v)
-    return x
+def tagged(o_custkey):
+    x, _, z = triple(o_custkey)
+    return pack3(x, x > 750, z)

@@ -289,10 +289,10 @@ def _grouped(sent: DataFrame, settle, blob) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """docs: id, mark, text. A row for each text with words to remove: id, mark, places (begins and ends of ranges)."""
+    """docs: id, mark, text and maybe more. A row for each text with words to remove: id, mark, places (ranges' begins and ends)."""
     buckets = buckets or bucket_count(docs)
-    anchors = _grouped(docs.mapInArrow(_numbered(_texts, _anchor_records, buckets), SENT), _met_elsewhere, lambda at: pack(at.astype(np.int32)))
-    candidates = docs.join(anchors, ["id", "mark"]).select("id", "mark", "text", "places")
+    anchors = _grouped(docs.select("id", "mark", "text").mapInArrow(_numbered(_texts, _anchor_records, buckets), SENT), _met_elsewhere, lambda at: pack(at.astype(np.int32)))
+    candidates = docs.join(anchors, ["id", "mark"])
     return _grouped(candidates.mapInArrow(_numbered(_texts_with_anchors, _window_records, buckets), SENT), _smaller_elsewhere, covered)
 
 
@@ -311,7 +311,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id, n_words, n_removed, kept_sha256, and kept_text where asked for."""
     kind = dict(docs.dtypes)[id_col]
     whole = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    places = repeated_ranges(whole.drop("doc"))
+    # both joins deal the same columns by the same keys: the texts are shuffled once
+    places = repeated_ranges(whole)
     out = f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,4 +327,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)][: 4 if with_text else 3]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *made], [id_col, "n_words", "n_removed", "kept_sha256", "kept_text"][: 5 if with_text else 4])
 
-    return whole.join(places, ["id", "mark"], "left").select("doc", "text", "places").mapInArrow(run, out)
+    return whole.join(places, ["id", "mark"], "left").mapInArrow(run, out)

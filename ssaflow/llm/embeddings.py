@@ -313,6 +313,6 @@ def _links(spark, classes: DataFrame, n: int, dims: int, threshold: float) -> tu
                 kind = np.repeat(np.array([0, 1], np.int32), [len(some), len(edges)])
                 yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(u), pa.array(v)], ["kind", "u", "v"])
 
-    found = materialise(tasks.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "kind int, u bigint, v bigint"), "vector-pairs")
+    found = materialise(tasks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "kind int, u bigint, v bigint"), "vector-pairs")
     links = found.where("kind = 0").groupBy(F.col("u").alias("rep")).agg(F.sum("v").alias("links"))
     return links, found.where("kind = 1").select(F.col("u").alias("a"), F.col("v").alias("b"))

@@ -1,0 +1,3 @@
+"""Workflows of plain Python tasks, run as Spark DataFrames."""
+
+__version__ = "0.1.0"

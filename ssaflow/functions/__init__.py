@@ -1 +1 @@
-
+"""The shipped tasks."""

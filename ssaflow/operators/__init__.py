@@ -1 +1 @@
-
+"""Tasks, and the control plane's queries."""

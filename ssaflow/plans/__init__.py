@@ -1 +1 @@
-
+"""Tracing, analysis, interpretation and lowering of workflows."""

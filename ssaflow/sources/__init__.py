@@ -1 +1 @@
-
+"""Files that workflows, manifests and contexts come from."""

@@ -1 +1 @@
-
+"""Workflows and state over streams."""

@@ -49,7 +49,7 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def encode_image(payload: bytes, width: int = WIDTH, level: int = 1) -> bytes:
+def encode_image(payload: bytes, width: int = WIDTH, level: int = 6) -> bytes:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
     filtered = np.zeros((len(rows), width + 1), np.uint8)  # filter type 0 before each row
     filtered[:, 1:] = rows

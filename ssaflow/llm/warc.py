@@ -51,7 +51,7 @@ def _digests(pages: DataFrame) -> DataFrame:
             rows = []
             for text in batch.column(2).to_pylist():
                 data = text.encode() if text else b""
-                rows.append((hashlib.sha256(data).hexdigest(), hashlib.sha1(data).hexdigest(), hashlib.md5(data).hexdigest(), len(data), gzip.compress(data, 1, mtime=0), row := row + 1))
+                rows.append((hashlib.sha256(data).hexdigest(), hashlib.sha1(data).hexdigest(), hashlib.md5(data).hexdigest(), len(data), gzip.compress(data, 6, mtime=0), row := row + 1))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)

@@ -89,5 +89,17 @@ from p join o on p.html = o.html
 """
 
 
+OP6_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where len(embedding) > 0 and list_count(embedding) = len(embedding) and isfinite(list_sum(embedding::double[])) and list_inner_product(embedding::double[], embedding::double[]) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from r join l on r.b = l.a),
+c as (select a as vec_id, min(b) as component_id from r group by a),
+n as (select a as vec_id, count(*) as n_links from l group by a)
+select c.vec_id, coalesce(n_links, 0) as n_links, component_id, c.vec_id = component_id as kept from c left join n on c.vec_id = n.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op6_embedding_dedup": OP6_SQL}

@@ -114,7 +114,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
     prints = materialise(fingerprints(docs, width, id_col, text_col), "simhash")
     # one row for each distinct fingerprint, however many copies there are
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    linked = components(links(classes.select("fp"), radius), "simhash-links")
+    # a small table makes many rows: it is dealt out before
+    spread = classes.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    linked = components(links(spread, radius), "simhash-links")
     rooted = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(heads, "root").select("fp", "component_id")

@@ -7,6 +7,7 @@ function runs in Arrow batches. Tasks must be deterministic: Spark may run them
 
 from __future__ import annotations
 
+import asyncio
 import dataclasses
 import inspect
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -40,6 +41,7 @@ class Task:
     inputs: tuple[str, ...]
     outputs: tuple[str, ...]
     #: Single: a value or a tuple of outputs. Batch: lists in, a list out. Stream: an iterable. Direct: a class.
+    #: Single, batch and stream functions may be asynchronous; rows of an Arrow batch then wait together.
     fn: Callable | type | None = None
     #: The Column form; a stream's gives an array.
     expr: Callable[..., Column | Sequence[Column]] | None = None
@@ -72,8 +74,8 @@ class Task:
         if self.kind == "direct":
             return [out for _, out in self.fn().run(iter([(0, args[0] if len(args) == 1 else args)]))]
         if self.kind == "batch":
-            return self.fn([args[0] if len(args) == 1 else args])[0]
-        return self.fn(*args)
+            return call_plainly(self, [[args[0] if len(args) == 1 else args]])[0]
+        return call_plainly(self, args)
 
     def columns(self, *args: Column) -> list[Column]:
         made = self.expr(*args)
@@ -160,6 +162,30 @@ def chunks(rows: Iterable, size: int) -> Iterator[list]:
         yield mine
 
 
+def is_async(task: Task) -> bool:
+    return inspect.iscoroutinefunction(task.fn) or inspect.isasyncgenfunction(task.fn)
+
+
+async def _gathered(fn: Callable, args: Sequence) -> Any:
+    if inspect.isasyncgenfunction(fn):
+        return [x async for x in fn(*args)]
+    return await fn(*args)
+
+
+def call_plainly(task: Task, args: Sequence) -> Any:
+    """A task's result for some arguments, waited for where its function is asynchronous."""
+    return asyncio.run(_gathered(task.fn, args)) if is_async(task) else task.fn(*args)
+
+
+def call_together(task: Task, rows: Sequence[Sequence]) -> list:
+    """An asynchronous task's results for many rows, waited for together; an exception stands for its row's result."""
+
+    async def everything() -> list:
+        return await asyncio.gather(*(_gathered(task.fn, r) for r in rows), return_exceptions=True)
+
+    return asyncio.run(everything())
+
+
 def packed(values: Sequence):
     """Inputs as a task's one argument: none is unit, one is itself, more are a tuple."""
     return None if not values else values[0] if len(values) == 1 else tuple(values)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from ssaflow.operators.tasks import Registry, packed, unpacked
+from ssaflow.operators.tasks import Registry, call_plainly, packed, unpacked
 from ssaflow.plans import ir
 
 
@@ -47,13 +47,13 @@ def following(op: ir.Operation, values: dict) -> int | None:
 def _outputs(task, args: list) -> Iterator:
     """Results of a call, one for each context that goes on."""
     if task.kind == "stream":
-        yield from task.fn(*args)
+        yield from call_plainly(task, args)
     elif task.kind == "batch":
-        yield task.fn([packed(args)])[0]
+        yield call_plainly(task, [[packed(args)]])[0]
     elif task.kind == "direct":
         yield from (v for _, v in task.fn().run(iter([(0, packed(args))])))
     else:
-        yield task.fn(*args)
+        yield call_plainly(task, args)
 
 
 def run(wf: ir.Workflow, registry: Registry, params: dict | None = None, most_steps: int = 1_000_000) -> Outcome:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ssaflow.checkpoints import materialise
-from ssaflow.operators.tasks import Registry, Task, TaskError, chunks, packed, unpacked
+from ssaflow.operators.tasks import Registry, Task, TaskError, call_plainly, call_together, chunks, is_async, packed, unpacked
 from ssaflow.plans import interp, ir
 from ssaflow.plans.analyze import Analysis, analyze, components, defined
 
@@ -337,7 +337,7 @@ class Lowering:
             try:
                 if op.call:
                     task = self.registry.get(op.call.task_id)
-                    values |= dict(zip(op.call.outputs, unpacked(task.fn(*(values[v] for v in op.call.inputs)), len(op.call.outputs)), strict=True))
+                    values |= dict(zip(op.call.outputs, unpacked(call_plainly(task, [values[v] for v in op.call.inputs]), len(op.call.outputs)), strict=True))
             except Exception as e:  # noqa: BLE001
                 self.failures.append((here.frame, here.when, at, F.lit(str(e))))
                 return []
@@ -561,11 +561,26 @@ def _python_rows(task: Task, n_args: int, kinds: list[str], name: str):
             items.append(bad(e))
         return items
 
+    def together(rows: list[tuple]) -> list:
+        made = []
+        for r in call_together(task, rows):
+            if task.kind == "single":
+                made.append(outcome(r))
+            else:
+                made.append([bad(r)] if isinstance(r, Exception) else [outcome(v) for v in r])
+        return made
+
+    def outcome(value) -> dict:
+        try:
+            return bad(value) if isinstance(value, Exception) else good(value)
+        except TaskError as e:
+            return bad(e)
+
     def chunked(rows: list[tuple]) -> list[dict]:
         out = []
         for chunk in chunks(rows, task.batch_size):
             try:
-                made = list(task.fn([packed(r) for r in chunk]))
+                made = list(call_plainly(task, [[packed(r) for r in chunk]]))
                 if len(made) != len(chunk):
                     raise TaskError(f"{len(made)} results for {len(chunk)} rows")
                 out += [bad(v) if isinstance(v, Exception) else good(v) for v in made]
@@ -596,6 +611,9 @@ def _python_rows(task: Task, n_args: int, kinds: list[str], name: str):
             return
         for batch in it:
             args = arguments(batch)
+            if is_async(task) and task.kind != "batch":
+                yield with_result(batch, together(args))
+                continue
             yield with_result(batch, chunked(args) if task.kind == "batch" else [stream(a) if task.kind == "stream" else one(a) for a in args])
 
     def direct(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,6 +51,38 @@ def python_two(v):
     return v + 1, f"<{v}>"
 
 
+@task(inputs="int", output="int", name="later")
+async def later(v):
+    if v == 7:
+        raise ValueError("seven")
+    return v + 100
+
+
+@task("stream", inputs="int", output="int", name="later_up_to")
+async def later_up_to(n):
+    for k in range(n):
+        yield k
+
+
+@task("batch", inputs="int", output="int", name="later_batch", batch_size=2)
+async def later_batch(rows):
+    return [v * 5 for v in rows]
+
+
+@workflow
+def asynchronous(v):
+    return later_batch(later_up_to(later(v) - 100))
+
+
+@workflow
+def theta_join(v):
+    # pairs of a nested loop that fulfil a condition: others have no item
+    b = id_range(0, 5)
+    hit = 1 if b < v else 0
+    k = id_range(0, hit)
+    return b
+
+
 @workflow
 def untaken(v):
     return panicker(v) if v > 100 else identity(v)
@@ -139,7 +171,7 @@ def _agree(spark, made, values):
     assert bad == sorted(failed)
 
 
-@pytest.mark.parametrize("made", [untaken, python_arms, python_loop, fan_out_loop, nested_loops, early_return, several, unit, W.collatz, W.while_rows, W.etl_even_arm, W.stream_stream], ids=lambda w: w.id)
+@pytest.mark.parametrize("made", [untaken, python_arms, python_loop, fan_out_loop, nested_loops, early_return, several, unit, asynchronous, theta_join, W.collatz, W.while_rows, W.etl_even_arm, W.stream_stream], ids=lambda w: w.id)
 def test_rows_agree_with_the_interpreter(spark, made):
     values = [1, 2, 3, 4] if made in (fan_out_loop, W.collatz) else [0, 1, 2, 3, 4, 7, 13, 14, 20]
     _agree(spark, made, values)

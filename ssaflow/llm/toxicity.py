@@ -40,7 +40,7 @@ BLOCK = 64
 #: Examples that vote.
 NEIGHBOURS = 15
 #: Chunks of text whose terms a worker remembers.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ssaflow.llm.common import materialise, open_fs, shared_dir
@@ -133,7 +133,7 @@ class ShardWriter:
             self.buffer, self.number = io.BytesIO(), self.number + 1
 
 
-PLACE = "payload_sha256 string, shard string, media_offset bigint, media_length bigint"
+PLACE = "payload_sha256 binary, shard string, media_offset bigint, media_length bigint"
 
 
 def store_payloads(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,9 +149,9 @@ def store_payloads(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
                 data = text.encode() if text else b""
                 payload = padded(data)
                 digest = hashlib.sha256(payload).digest()
-                rows.append((len(data), digest.hex(), *shards.put(digest, payload)))
+                rows.append((len(data), digest, *shards.put(digest, payload)))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            kinds = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
         shards.close()
 
@@ -167,7 +167,7 @@ def canonical_places(rows: DataFrame) -> DataFrame:
 
 def read_media(places: DataFrame, folder: str) -> DataFrame:
     """Header metadata and features for each place, shard by shard, by range reads."""
-    out = "payload_sha256 string, width int, height int, payload_bytes bigint, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    out = "payload_sha256 binary, width int, height int, payload_bytes bigint, tail_crc32 bigint, media_bytes bigint, media_sha256 binary, feature string, shard string, media_offset bigint"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)
@@ -182,11 +182,11 @@ def read_media(places: DataFrame, folder: str) -> DataFrame:
                 width, height, _ = read_header(file.read_at(HEADER_BYTES, offset))
                 media = file.read_at(length, offset)
                 samples = decode_image(media)
-                if hashlib.sha256(samples).hexdigest() != digest:
-                    raise ValueError(f"payload {digest} in {shard} doesn't have its digest")
-                rows.append((digest, width, height, len(samples), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(samples)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                if hashlib.sha256(samples).digest() != digest:
+                    raise ValueError(f"payload {digest.hex()} in {shard} doesn't have its digest")
+                rows.append((digest, width, height, len(samples), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).digest(), features(samples), shard, offset))
+            cols = list(zip(*rows, strict=True)) or [[]] * 10
+            kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in out.split(", ")])
         if file:
             file.close()
@@ -196,15 +196,17 @@ def read_media(places: DataFrame, folder: str) -> DataFrame:
     return ranged.repartition("shard").sortWithinPartitions("shard", "media_offset").mapInArrow(run, out)
 
 
+def _hex(name: str) -> Column:
+    return F.lower(F.hex(name)).alias(name)
+
+
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """One row per document: sizes, digests and feature of its stored media, and where that lies."""
     folder = folder or shared_dir(docs.sparkSession, "media")
     rows = store_payloads(docs, folder, id_col, text_col)
-    places = canonical_places(rows)
-    read = read_media(places, folder)
-    found = places.join(read, "payload_sha256")
-    mine = rows.select("doc_id", "n_bytes", "payload_sha256").join(found, "payload_sha256")
+    read = read_media(canonical_places(rows), folder)
+    mine = rows.select("doc_id", "n_bytes", "payload_sha256").join(read, "payload_sha256")
     return mine.select(
-        F.col("doc_id").alias(id_col), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+        F.col("doc_id").alias(id_col), "n_bytes", "payload_bytes", _hex("payload_sha256"), "tail_crc32", "media_bytes", _hex("media_sha256"), "feature",
         "width", "height", F.concat_ws("/", F.lit(folder), "shard").alias("shard"), "media_offset",
     )

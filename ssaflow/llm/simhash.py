@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ssaflow.llm.common import materialise, word_blocks
+from ssaflow.llm.common import deltas, materialise, pack, unpack, word_blocks
 from ssaflow.llm.components import components
 
 #: The seed of the shingles' hash.
@@ -123,12 +123,126 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
     return prints.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+# ---- similarity of texts: several short fingerprints ------------------------------------------------------------------
+
+#: Words of 64 bits in a sketch; each holds two fingerprints of 32 bits.
+SKETCH_WORDS = 4
+_SALTS = np.array([xxhash.xxh64_intdigest(bytes([k]), 99) for k in range(SKETCH_WORDS)], np.uint64)
+#: What a fingerprint of 32 bits is combined with to give all values within one bit.
+_BALL = np.array([0, *(1 << b for b in range(32))], np.uint64)
+
+
+def _again(h: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """Another hash from a hash."""
+    h = h + salt
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def most_bits(similarity: float) -> int:
+    """Bits in which sketches of texts differ, on average, whose shingle sets have this Jaccard similarity."""
+    return round(64 * SKETCH_WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def sketches(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and s0, s1, ...: a SimHash of 64 * SKETCH_WORDS bits; one narrow pass."""
+    names = [f"s{k}" for k in range(SKETCH_WORDS)]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            hashes = [shingle_hashes(t, width) for t in batch.column(1).to_pylist()]
+            words = [majority([_again(h, salt) for h in hashes]) for salt in _SALTS]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(w.view(np.int64)) for w in words)], ["doc_id", *names])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+
+
+def ball_keys(words: np.ndarray) -> np.ndarray:
+    """For each sketch (a row of words) the values within one bit of each of its short fingerprints, by fingerprint."""
+    short = np.stack([(words[:, k // 2] >> np.uint64(32 * (k % 2))) & np.uint64(0xFFFFFFFF) for k in range(2 * SKETCH_WORDS)], axis=1)
+    tables = np.arange(2 * SKETCH_WORDS, dtype=np.uint64) << np.uint64(32)
+    return ((short[:, :, None] ^ _BALL[None, None, :]) | tables[None, :, None]).reshape(len(words), -1)
+
+
+def _star_and_chain(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal keys: pairs of each node with the least one and with the next smaller one; and each key's least node."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = nodes[new][np.cumsum(new) - 1] if len(keys) else nodes
+    rest = ~new
+    a = np.concatenate([nodes[rest], nodes[rest]])
+    b = np.concatenate([first[rest], nodes[np.flatnonzero(rest) - 1]])
+    apart = a != b
+    pairs = np.unique(np.stack([a[apart], b[apart]], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1], keys[new], nodes[new]
+
+
+def candidates(classes: DataFrame, buckets: int) -> DataFrame:
+    """Pairs a, b of nodes whose short fingerprints meet. classes: node, s0, s1, ...
+
+    A task pairs what meets within it and sends on one node for each value, in compressed blobs by bucket.
+    """
+    pairs = pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("blob", pa.binary())])
+
+    def batch_of(bucket: list, a: np.ndarray, b: np.ndarray, blob: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(blob, pa.binary())], schema=pairs)
+
+    def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            nodes = batch.column(0).to_numpy()
+            words = np.stack([batch.column(k + 1).to_numpy().view(np.uint64) for k in range(SKETCH_WORDS)], axis=1)
+            keys = ball_keys(words)
+            a, b, kept, heads = _star_and_chain(keys.reshape(-1), np.repeat(nodes, keys.shape[1]))
+            yield batch_of([None] * len(a), a, b, [None] * len(a))
+            bucket = (_again(kept, _SALTS[0]) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            if len(order):
+                for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    yield batch_of([bucket[part[0]]], [None], [None], [pack(deltas(kept[part].astype(np.int64)), heads[part])])
+
+    def meet(table: pa.Table) -> pa.Table:
+        blobs = [unpack(x) for x in table.column("blob").to_pylist()]
+        a, b, _, _ = _star_and_chain(np.concatenate([np.cumsum(x[0]) for x in blobs]), np.concatenate([x[1] for x in blobs]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sent = materialise(classes.mapInArrow(send, "bucket bigint, a bigint, b bigint, blob binary"), "sketch-keys")
+    met = sent.where("bucket is not null").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
+    return sent.where("bucket is null").select("a", "b").unionByName(met).distinct()
+
+
+def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links a, b between ids of documents: copies with their class's least id, and classes whose sketches are as near
+    as those of texts of the similarity are on average."""
+    names = [f"s{k}" for k in range(SKETCH_WORDS)]
+    rows = materialise(sketches(docs.where(F.col(id_col).isNotNull()), width, id_col, text_col), "sketches")
+    classes = materialise(rows.groupBy(*names).agg(F.min("doc_id").alias("node")).select("node", *names), "sketch-classes")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = candidates(classes.repartition(partitions, "node"), 4 * partitions)
+    left = classes.select(F.col("node").alias("a"), *(F.col(n).alias(f"a{n}") for n in names))
+    right = classes.select(F.col("node").alias("b"), *(F.col(n).alias(f"b{n}") for n in names))
+    differ = sum((F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in names[1:]), F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))))
+    near = pairs.join(left, "a").join(right, "b").where(differ <= most_bits(similarity)).select("a", "b")
+    copies = rows.join(classes, names).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    return near.unionByName(copies)
+
+
+def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each group the one with the smallest id stays.
 
-    Rows without an id can't be named and stay; of rows that repeat an id one stays.
+    Groups are those of near_duplicates; a similarity adds links between texts whose sets of five-word shingles are as
+    similar, by their sketches. Rows without an id can't be named and stay; of rows that repeat an id one stays.
     """
-    groups = near_duplicates(docs, width, radius, id_col, text_col)
-    heads = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_head")).distinct()
-    named = docs.join(heads, docs[id_col] == heads["_head"], "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    groups = near_duplicates(docs, width, radius, id_col, text_col).select(F.col(id_col).alias("doc"), "component_id")
+    if similarity is None:
+        heads = groups.where("doc = component_id").select(F.col("doc").alias("_head")).distinct()
+        named = docs.join(heads, docs[id_col] == heads["_head"], "left_semi")
+    else:
+        groups = groups.where("doc <> component_id").select(F.col("doc").cast("bigint").alias("a"), F.col("component_id").cast("bigint").alias("b"))
+        merged = components(groups.unionByName(similar_links(docs, similarity, 5, id_col, text_col)), "near-duplicates")
+        gone = merged.where("node <> component").select(F.col("node").alias("_gone"))
+        named = docs.where(F.col(id_col).isNotNull()).join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return named.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

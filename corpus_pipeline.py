@@ -22,9 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: two bits of three-word fingerprints, or a similarity of 0.8."""
     small_batches(spark)
-    return simhash.keep_one(docs, width=3, radius=2)
+    return simhash.keep_one(docs, width=3, radius=2, similarity=0.8)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

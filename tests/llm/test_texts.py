@@ -378,3 +378,45 @@ def test_simhash_nulls_and_repeats(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     kept = [r.doc_id for r in simhash.keep_one(df).collect()]
     assert kept.count(2) <= 1 and None in kept
+
+
+def test_short_fingerprints_meet_within_two_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 63, size=(1, simhash.SKETCH_WORDS), dtype=np.uint64)
+    b = rng.integers(0, 1 << 63, size=(1, simhash.SKETCH_WORDS), dtype=np.uint64)
+    b[0, 2] = a[0, 2] ^ np.uint64((1 << 35) | (1 << 60))
+    met = set(simhash.ball_keys(a)[0].tolist()) & set(simhash.ball_keys(b)[0].tolist())
+    assert {k >> 32 for k in met} >= {5}
+    far = b.copy()
+    far[0, 2] ^= np.uint64(1 << 50)
+    assert all(k >> 32 != 5 for k in set(simhash.ball_keys(a)[0].tolist()) & set(simhash.ball_keys(far)[0].tolist()))
+
+
+def test_similar_texts(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for k in range(40):
+        base = [word() for _ in range(300)]
+        rows.append((10 * k, " ".join(base)))
+        near = list(base)
+        for _ in range(2):
+            near[rng.randrange(300)] = word()
+        rows.append((10 * k + 1, " ".join(near)))
+        far = list(base)
+        far[::4] = [word() for _ in far[::4]]
+        rows.append((10 * k + 2, " ".join(far)))
+    rows += [(1000, rows[0][1]), (1001, ""), (1002, None), (None, "no id"), (None, rows[0][1])]
+    df = spark.createDataFrame([(*r, 1, "n") for r in rows], "doc_id bigint, text string, node int, a string").repartition(4)
+    kept = simhash.keep_one(df, similarity=0.8)
+    assert kept.columns == df.columns
+    got = [r.doc_id for r in kept.collect()]
+    assert {d for d in got if d is not None and d % 10 == 2 and d < 1000} == {10 * k + 2 for k in range(40)}
+    assert {d for d in got if d is not None and d % 10 == 0 and d < 1000} == {10 * k for k in range(40)}
+    assert sum(d is not None and d % 10 == 1 and d < 1000 for d in got) <= 2
+    assert 1000 not in got and got.count(None) == 2 and (1001 in got) != (1002 in got)
+    assert simhash.keep_one(empty(spark), similarity=0.8).count() == 0

@@ -353,93 +353,151 @@ class Lowering:
         return [(at, Arrival(before, here.frame, here.when))]
 
     def columnar(self, header: int, ops: set[int]) -> bool:
-        """Whether a loop has Column forms only and no other loop or return inside."""
-        edges = {k: [s for s in self.wf.operations[k].successors() if s in ops and s != header] for k in ops}
-        plain = all(len(c) == 1 for c in components(ops, edges)) and all(k not in edges[k] for k in ops)
+        """Whether a loop, and any loop inside, has Column forms only and no return."""
         mine = [self.wf.operations[k] for k in ops]
-        return plain and all(not isinstance(o.next, ir.Return) and (o.call is None or self.registry.get(o.call.task_id).pure) for o in mine)
+        if not all(not isinstance(o.next, ir.Return) and (o.call is None or self.registry.get(o.call.task_id).pure) for o in mine):
+            return False
+        inner = [set(c) for c in components(ops, self.inside(header, ops)) if self.is_loop(c, ops, header)]
+        return all((h := self.entry_of(c)) is not None and self.columnar(h, c) for c in inner)
 
-    def column_loop(self, header: int, ops: set[int], entering: list[Arrival]) -> list[tuple[int, Arrival]]:
-        here = self.meet(header, entering)
-        frame, when = here.frame, here.when
+    def inside(self, header: int, ops: set[int]) -> dict[int, list[int]]:
+        """Edges of a loop without those back to its header."""
+        return {k: [s for s in self.wf.operations[k].successors() if s in ops and s != header] for k in ops}
+
+    def is_loop(self, comp: list[int], ops: set[int], header: int) -> bool:
+        return len(comp) > 1 or comp[0] in self.inside(header, ops)[comp[0]]
+
+    def entry_of(self, comp: set[int]) -> int | None:
+        """The operation where a loop is entered, if it is one."""
+        found = [k for k in comp if self.a.predecessors.get(k, set()) - comp]
+        return found[0] if len(found) == 1 else None
+
+    def turns(self, header: int, ops: set[int], env: dict[int, Column], first: dict[int, Column]) -> tuple[Column, list[int], list[tuple[int, int]]]:
+        """A Column loop's state after its last turn; the values that it has as fields, and the edges that leave it.
+
+        first has the header's phis at the entry, env whatever else is read in the loop.
+        """
         within = {v for k in ops for v in defined(self.wf.operations[k])}
-        carried = [p.output for p in self.wf.operations[header].phis]
         exits = [(k, s) for k in sorted(ops) for s in self.wf.operations[k].successors() if s not in ops]
         # what is defined in the loop and read after it
         after = {v for k, s in exits for v in self.a.live_in[s] | {v for p in self.wf.operations[s].phis for b, v in p.sources if b == k}}
-        fields = carried + sorted((after & within) - set(carried))
-        outside = {v: self.column(frame, v) for v in (set(frame.env) | set(frame.consts)) - within}
-        first = [self.column(frame, v).cast(self._kind(v)).alias(f"f{v}") if v in carried else F.lit(None).cast(self._kind(v)).alias(f"f{v}") for v in fields]
-        state = F.struct(*first, F.lit(-1).alias("exit"), F.lit(None).cast(FAILURE).alias("failure"))
-        over = lambda s: (s["exit"] >= 0) | s["failure"].isNotNull()
-        once = lambda s, _: F.when(over(s), s).otherwise(self.body(header, ops, exits, fields, outside, s))
-        turns = lambda: F.sequence(F.lit(1), F.lit(LOOP_LEVEL))
-        twice = lambda s, _: F.when(over(s), s).otherwise(F.aggregate(turns(), s, once))
-        thrice = lambda s, _: F.when(over(s), s).otherwise(F.aggregate(turns(), s, twice))
-        end = frame.bind(self.guarded(when, F.aggregate(turns(), state, thrice)))
+        fields = list(first) + sorted((after & within) - set(first))
+        outside = {v: c for v, c in env.items() if v not in within}
+        start = [first.get(v, F.lit(None)).cast(self._kind(v)).alias(f"f{v}") for v in fields]
+        state = F.struct(*start, F.lit(-1).alias("exit"), F.lit(None).cast(FAILURE).alias("failure"))
+        once = lambda s, _: F.when(self.over(s), s).otherwise(self.body(header, ops, exits, fields, outside, s))
+        level = lambda s: F.aggregate(F.sequence(F.lit(1), F.lit(LOOP_LEVEL)), s, once)
+        twice = lambda s, _: F.when(self.over(s), s).otherwise(level(s))
+        more = lambda s: F.aggregate(F.sequence(F.lit(1), F.lit(LOOP_LEVEL)), s, twice)
+        thrice = lambda s, _: F.when(self.over(s), s).otherwise(more(s))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(LOOP_LEVEL)), state, thrice), fields, exits
+
+    @staticmethod
+    def over(state: Column) -> Column:
+        return (state["exit"] >= 0) | state["failure"].isNotNull()
+
+    def endless(self, header: int) -> Column:
+        return F.lit(f"the loop at operation {header} doesn't end")
+
+    def column_loop(self, header: int, ops: set[int], entering: list[Arrival]) -> list[tuple[int, Arrival]]:
+        here = self.meet(header, entering)
+        frame, when = here.frame, here.when
+        env = {v: self.column(frame, v) for v in set(frame.env) | set(frame.consts)}
+        first = {p.output: self.column(frame, p.output) for p in self.wf.operations[header].phis}
+        end, fields, exits = self.turns(header, ops, env, first)
+        end = frame.bind(self.guarded(when, end))
         for v in fields:
             frame.env[v] = end[f"f{v}"]
             frame.consts.pop(v, None)
         self.failures.append((frame, both(when, end["failure"].isNotNull()), header, end["failure"]["message"]))
-        self.failures.append((frame, both(when, ~over(end)), header, F.lit(f"the loop at operation {header} doesn't end")))
-        if len(exits) == 1:
-            done = frame.bind(F.coalesce(both(when, end["exit"] == 0), F.lit(False)))
-            return [(exits[0][1], Arrival(exits[0][0], frame, done))]
+        self.failures.append((frame, both(when, ~self.over(end)), header, self.endless(header)))
         return [(s, Arrival(k, frame, frame.bind(F.coalesce(both(when, end["exit"] == n), F.lit(False))))) for n, (k, s) in enumerate(exits)]
 
     def body(self, header: int, ops: set[int], exits: list[tuple[int, int]], fields: list[int], outside: dict[int, Column], s: Column) -> Column:
         """The state after one turn of a Column loop."""
-        env = outside | {v: s[f"f{v}"] for v in fields}
-        coming: dict[int, list[tuple[int | None, Column | None]]] = {header: [(None, None)]}
-        exit_at, failure = F.lit(-1), F.lit(None).cast(FAILURE)
-        back: list[tuple[int, Column | None]] = []
-        edges = {k: [t for t in self.wf.operations[k].successors() if t in ops and t != header] for k in ops}
-        for (k,) in components(ops, edges):
-            if k not in coming:
-                continue
-            op = self.wf.operations[k]
-            when = either([w for _, w in coming[k]])
-            for x in op.literals:
-                env[x.output] = self.const(*ir.parse_literal(x.value, x.type))
-            if k != header:
-                made = {}
-                for p in op.phis:
-                    sources, value = dict(p.sources), F
-                    for b, w in coming[k][:-1]:
-                        value = value.when(F.lit(True) if w is None else w, env[sources[b]])
-                    made[p.output] = env[sources[coming[k][-1][0]]] if value is F else value.otherwise(env[sources[coming[k][-1][0]]])
-                env |= made
-            if op.call:
-                task = self.registry.get(op.call.task_id)
-                args = [env[v] for v in op.call.inputs]
-                if op.call.outputs:
-                    env |= {v: self.guarded(when, c).cast(self._kind(v)) for v, c in zip(op.call.outputs, task.columns(*args), strict=True)}
-                if task.fails_when is not None:
-                    bad = F.coalesce(task.fails_when(*args), F.lit(False))
-                    failure = F.when(both(when, bad), F.struct(F.lit(k).alias("op"), F.lit(task.message).alias("message"))).otherwise(failure)
-                    when = both(when, ~bad)
-            if isinstance(op.next, ir.Branch):
-                flag = env[op.next.var]
-                failure = F.when(both(when, flag.isNull()), F.struct(F.lit(k).alias("op"), F.lit("a branch needs a boolean").alias("message"))).otherwise(failure)
-                ways = [(op.next.true_next, both(when, F.coalesce(flag, F.lit(False)))), (op.next.false_next, both(when, F.coalesce(~flag, F.lit(False))))]
-            else:
-                ways = [(op.next.next, when)]
-            for target, w in ways:
+        order = components(ops, self.inside(header, ops))
+        phis = {p.output: dict(p.sources) for p in self.wf.operations[header].phis}
+
+        def merged(at: int, arrived: list[tuple[int, Column | None]], env: dict[int, Column]) -> dict[int, Column]:
+            made = {}
+            for p in self.wf.operations[at].phis:
+                sources, value = dict(p.sources), F
+                arrived = [(b, w) for b, w in arrived if b in sources]
+                for b, w in arrived[:-1]:
+                    value = value.when(F.lit(True) if w is None else w, env[sources[b]])
+                last = env[sources[arrived[-1][0]]]
+                made[p.output] = last if value is F else value.otherwise(last)
+            return made
+
+        def walk(n: int, env: dict[int, Column], coming: dict, exit_at: Column, failure: Column, back: list) -> Column:
+            env, coming, back = dict(env), {k: list(v) for k, v in coming.items()}, list(back)
+            for place in range(n, len(order)):
+                comp = order[place]
+                arrived = [(k, a) for k in comp for a in coming.get(k, [])]
+                if not arrived:
+                    continue
+                if self.is_loop(comp, ops, header):
+                    # the rest of the turn sees the inner loop's end as a variable: it runs once
+                    inner = arrived[0][0]
+                    when = either([w for _, (_, w) in arrived])
+                    end, kept, ways = self.turns(inner, set(comp), env, merged(inner, [a for _, a in arrived], env))
+
+                    def rest(e: Column, place=place, inner=inner, when=when, kept=kept, ways=ways, env=env, coming=coming, exit_at=exit_at, failure=failure, back=back) -> Column:
+                        bad = F.when(e["failure"].isNotNull(), e["failure"]).when(~self.over(e), F.struct(F.lit(inner).alias("op"), self.endless(inner).alias("message")))
+                        failed = F.when(F.lit(True) if when is None else when, F.coalesce(bad, failure)).otherwise(failure)
+                        left = [(k, t, both(when, F.coalesce(e["exit"] == i, F.lit(False)))) for i, (k, t) in enumerate(ways)]
+                        return leave(place, env | {v: e[f"f{v}"] for v in kept}, coming, exit_at, failed, back, left)
+
+                    return F.transform(F.array(self.guarded(when, end)), lambda e: rest(e))[0]  # noqa: B023
+                (k,) = comp
+                op = self.wf.operations[k]
+                when = either([w for _, (_, w) in arrived])
+                if k != header:
+                    env |= merged(k, [a for _, a in arrived], env)
+                for x in op.literals:
+                    env[x.output] = self.const(*ir.parse_literal(x.value, x.type))
+                if op.call:
+                    task = self.registry.get(op.call.task_id)
+                    args = [env[v] for v in op.call.inputs]
+                    if op.call.outputs:
+                        env |= {v: self.guarded(when, c).cast(self._kind(v)) for v, c in zip(op.call.outputs, task.columns(*args), strict=True)}
+                    if task.fails_when is not None:
+                        bad = F.coalesce(task.fails_when(*args), F.lit(False))
+                        failure = F.when(both(when, bad), F.struct(F.lit(k).alias("op"), F.lit(task.message).alias("message"))).otherwise(failure)
+                        when = both(when, ~bad)
+                if isinstance(op.next, ir.Branch):
+                    flag = env[op.next.var]
+                    failure = F.when(both(when, flag.isNull()), F.struct(F.lit(k).alias("op"), F.lit("a branch needs a boolean").alias("message"))).otherwise(failure)
+                    ways = [(k, op.next.true_next, both(when, F.coalesce(flag, F.lit(False)))), (k, op.next.false_next, both(when, F.coalesce(~flag, F.lit(False))))]
+                else:
+                    ways = [(k, op.next.next, when)]
+                exit_at = taken(ways, coming, exit_at, back)
+            new = []
+            for v in fields:
+                value = s[f"f{v}"] if v in phis or v not in env else env[v]
+                if v in phis:
+                    for b, w in back:
+                        value = F.when(F.lit(True) if w is None else w, env[phis[v][b]]).otherwise(value)
+                new.append(value.cast(self._kind(v)).alias(f"f{v}"))
+            return F.struct(*new, exit_at.alias("exit"), failure.alias("failure"))
+
+        def taken(ways: list[tuple[int, int, Column | None]], coming: dict, exit_at: Column, back: list) -> Column:
+            for k, target, w in ways:
                 if target == header:
                     back.append((k, w))
                 elif target in ops:
                     coming.setdefault(target, []).append((k, w))
                 else:
                     exit_at = F.when(F.lit(True) if w is None else w, F.lit(exits.index((k, target)))).otherwise(exit_at)
-        phis = {p.output: dict(p.sources) for p in self.wf.operations[header].phis}
-        new = []
-        for v in fields:
-            value = s[f"f{v}"] if v in phis else env[v]
-            if v in phis:
-                for b, w in back:
-                    value = F.when(F.lit(True) if w is None else w, env[phis[v][b]]).otherwise(value)
-            new.append(value.cast(self._kind(v)).alias(f"f{v}"))
-        return F.struct(*new, exit_at.alias("exit"), failure.alias("failure"))
+            return exit_at
+
+        def leave(place: int, env: dict, coming: dict, exit_at: Column, failure: Column, back: list, ways: list) -> Column:
+            coming, back = {k: list(v) for k, v in coming.items()}, list(back)
+            exit_at = taken(ways, coming, exit_at, back)
+            return walk(place + 1, env, coming, exit_at, failure, back)
+
+        env = outside | {v: s[f"f{v}"] for v in fields}
+        return walk(0, env, {header: [(None, None)]}, F.lit(-1), F.lit(None).cast(FAILURE), [])
 
     def supersteps(self, header: int, ops: set[int], entering: list[Arrival]) -> list[tuple[int, Arrival]]:
         """Run the body over all active rows at a time until none is left."""

@@ -75,6 +75,26 @@ def media_on_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).run(W.media_on_rows, _table(spark, sf_dir, "nation", "n_nationkey")).results
 
 
+def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _rows(W.structured, "nation", "n_nationkey", "n_regionkey")(spark, sf_dir)
+    return out.select("n_nationkey", F.col("result.value").alias("value"))
+
+
+def unit_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _rows(W.unit_result, "nation", "n_nationkey", "n_regionkey")(spark, sf_dir)
+    return out.select("n_nationkey", F.col("result").isNull().alias("unit"))
+
+
+def ordered_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts by their paths: the place of each result among its root's."""
+    from pyspark.sql import Window
+
+    df = _table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")
+    out = Engine(spark).run(W.ordered_contexts, df, ["n_nationkey"], {"v": "n_regionkey"}).results
+    place = F.row_number().over(Window.partitionBy("n_nationkey").orderBy("ctx_path"))
+    return out.select("n_nationkey", place.cast("bigint").alias("place"), "result", F.slice("ctx_path", 1, F.size("ctx_path") - 1)[0].alias("parent"))
+
+
 def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.run_progress(_table(spark, sf_dir, "events", "user_id", "event_type"), "user_id", F.col("event_type") == "purchase")
 
@@ -190,6 +210,16 @@ QUERIES: dict[str, Query] = {
     "etl_on_orders": _rows(W.etl_on_rows, "orders", "o_orderkey", "o_custkey"),
     "etl_even_arm": _rows(W.etl_even_arm, "orders", "o_orderkey", "o_custkey"),
     "media_on_nation": media_on_nation,
+    "untaken_arm": _rows(W.untaken_arm, "orders", "o_orderkey", "o_custkey"),
+    "filter_by_fan_out": _rows(W.filter_by_fan_out, "orders", "o_orderkey", "o_custkey"),
+    "theta_join": _rows(W.theta_join, "nation", "n_nationkey", "n_regionkey"),
+    "early_return": _rows(W.early_return, "orders", "o_orderkey", "o_custkey"),
+    "nested_loops": _rows(W.nested_loops, "nation", "n_nationkey", "n_nationkey"),
+    "python_loop": _rows(W.python_loop, "part", "p_partkey", "p_size"),
+    "concatenated": _rows(W.concatenated, "nation", "n_nationkey", "n_regionkey"),
+    "structured": structured,
+    "unit_result": unit_result,
+    "ordered_contexts": ordered_contexts,
     "run_progress": run_progress,
     "run_status": run_status,
     "upsert_last": upsert_last,
@@ -228,6 +258,16 @@ ORACLE_SQL: dict[str, str] = {
     "etl_on_orders": "select o_orderkey, cast(case when ((o_custkey * 10) + 7) % 2 = 0 then (o_custkey * 10) + 7 + 3 else (o_custkey * 10) + 7 end as integer) as result from orders",
     "etl_even_arm": "select o_orderkey, cast(case when (o_custkey + 7) % 2 = 0 then o_custkey + 7 + 3 else o_custkey + 7 end as integer) as result from orders",
     "media_on_nation": "select n_nationkey + 7 as result from nation where n_nationkey <> 4",
+    "untaken_arm": "select o_orderkey, cast(o_custkey as integer) as result from orders",
+    "filter_by_fan_out": "select o_orderkey, cast(o_custkey as integer) as result from orders where o_custkey % 2 = 0",
+    "theta_join": "select n_nationkey, cast(b.x as integer) as result from nation join range(0, 5) b(x) on b.x < n_regionkey",
+    "early_return": "select o_orderkey, cast(case when o_custkey % 2 = 0 then o_custkey * 2 else o_custkey + 1 end as integer) as result from orders",
+    "nested_loops": "select n_nationkey, cast((select coalesce(sum(i * (i - 1) // 2), 0) from range(0, n_nationkey) t(i)) as integer) as result from nation",
+    "python_loop": "with recursive w(id, n, i) as (select p_partkey, p_size, 0 from part union all select id, n, i * 2 + 1 from w where i < n) select id as p_partkey, i as result from w where i >= n",
+    "concatenated": "select n_nationkey, n_regionkey || '-suffix' as result from nation",
+    "structured": "select n_nationkey, cast(n_regionkey as varchar) as value from nation",
+    "unit_result": "select n_nationkey, true as unit from nation",
+    "ordered_contexts": "select n_nationkey, row_number() over (partition by n_nationkey order by a.i, b.k) as place, cast(a.i + b.k as integer) as result, a.i as parent from nation, lateral (select unnest(range(0, n_regionkey)) i) a, range(0, 2) b(k)",
     "run_progress": "select user_id as run, count(*) filter (where event_type = 'purchase') as done, count(*) as total from events group by user_id",
     "run_status": "select user_id as run, case when count(*) filter (where event_type = 'error') > 0 then 'partial_failed' else 'succeeded' end as status from events group by 1",
     "upsert_last": "select user_id, event_type, arg_max(value, row(ts, event_id)) as value from events group by 1, 2",

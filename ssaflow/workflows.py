@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ssaflow.functions.library import (
-    add, add_one, divide_by_2, double, double_direct, embed_batch, id_range, identity, is_even, is_negative, is_positive,
-    less_than, maybe_fail, maybe_fail_on_20, multiply_by_3_and_add_1, multiply_by_two, normalize, not_one, pack3, range_by_10, score, split, triple,
+    action_if_true, add, add_one, batch_task, complex_return_task, divide_by_2, double, double_direct, embed_batch, id_range, identity, is_even, is_negative, is_positive,
+    less_than, maybe_fail, maybe_fail_on_20, multiple_args_task, multiply_by_3_and_add_1, multiply_by_two, normalize, not_one, pack3, panicker, range_by_10, score, split, stream_task, triple,
 )
 from ssaflow.plans.trace import workflow
 
@@ -238,3 +238,78 @@ def media_on_rows(n_nationkey):
 def tagged(o_custkey):
     x, _, z = triple(o_custkey)
     return pack3(x, x > 750, z)
+
+
+@workflow
+def untaken_arm(v):
+    # Python that must not run for the rows of the other arm
+    return panicker(v) if v > 1_000_000 else identity(v)
+
+
+@workflow
+def filter_by_fan_out(v):
+    # an even value has one item, an odd one none
+    keep = 1 if is_even(v) else 0
+    k = id_range(0, keep)
+    return v
+
+
+@workflow
+def theta_join(v):
+    b = id_range(0, 5)
+    hit = 1 if b < v else 0
+    k = id_range(0, hit)
+    return b
+
+
+@workflow
+def early_return(v):
+    if is_even(v):
+        return double(v)
+    else:
+        w = add_one(v)
+        return w
+
+
+@workflow
+def nested_loops(v):
+    total = 0
+    i = 0
+    while less_than(i, v):
+        j = 0
+        while less_than(j, i):
+            total = add(total, j)
+            j = add(j, 1)
+        i = add(i, 1)
+    return total
+
+
+@workflow
+def python_loop(v):
+    # the loop's body needs Python: supersteps over the active rows
+    i = 0
+    while less_than(i, v):
+        i = add(batch_task(i), 1)
+    return i
+
+
+@workflow
+def concatenated(v):
+    return multiple_args_task(v, "-suffix")
+
+
+@workflow
+def structured(v):
+    return complex_return_task(v)
+
+
+@workflow
+def unit_result(v):
+    if v > 2:
+        action_if_true()
+
+
+@workflow
+def ordered_contexts(v):
+    a = stream_task(v)
+    return split(a, 2)

@@ -59,8 +59,9 @@ def quality(text: Column) -> Column:
 
 
 def uniform(seed: int, *parts: Column) -> Column:
-    """A number above 0 and at most 1 from a hash of the parts; reruns give the same."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
+    """A number above 0 and at most 1 from a digest of the parts; reruns, and other engines, give the same."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *parts).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") + 1) / F.lit(float(1 << 52))
 
 
 def _by_source(rows: DataFrame, other: DataFrame, small: bool) -> DataFrame:
@@ -79,7 +80,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD_RE)).cast("bigint").alias("size"),
-        (-F.log(uniform(seed, F.col(id_col).cast("string"), text)) / quality(text)).alias("key"), F.xxhash64(text).alias("tie"),
+        (-F.log(uniform(seed, F.coalesce(F.col(id_col).cast("string"), F.lit("")), text)) / quality(text)).alias("key"), F.xxhash64(text).alias("tie"),
         *(c.alias(n) for c, n in zip(keep, kept, strict=True)),
     )
     sized = materialise(sized, "mixing")

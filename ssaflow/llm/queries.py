@@ -101,5 +101,34 @@ select c.vec_id, coalesce(n_links, 0) as n_links, component_id, c.vec_id = compo
 """
 
 
+OP7_SQL = r"""
+with w as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+d as (
+  select doc_id, source, len(words) as size,
+         coalesce((select count(*) from (select unnest(words) as x) where regexp_full_match(x, '\pL+[,.;:!?]?')), 0) as plain,
+         (cast('0x' || substr(md5('7:' || coalesce(cast(doc_id as varchar), '') || ':' || text), 1, 13) as bigint) + 1) / 4503599627370496.0::double as u
+  from w),
+k as (select *, -ln(u) / case when size > 0 then 0.5::double + 1.5::double * plain / size else 0.5::double end as key from d),
+s as (
+  select source, sum(size)::double as size, [3.0, 1.0, 2.0][(row_number() over (order by source is null, source) - 1) % 3 + 1]::double as weight
+  from k group by source),
+o as (
+  select *, 1.5::double * sum(size) over () as total, row_number() over (order by 2.0::double * size / weight, source) as n,
+         coalesce(sum(2.0::double * size) over (order by 2.0::double * size / weight, source rows between unbounded preceding and 1 preceding), 0) as capped,
+         sum(weight) over (order by 2.0::double * size / weight, source rows between current row and unbounded following) as free from s),
+f as (select min(n) as n from o where weight * (total - capped) / free <= 2.0::double * size),
+t as (
+  select o.source, o.size, case when f.n is null or o.n < f.n then 2.0::double * o.size else o.weight * (p.total - p.capped) / p.free end as target
+  from o cross join f left join o p on p.n = f.n),
+b as (select *, case when size > 0 then floor(target / size) else 0 end as epochs from t),
+r as (
+  select k.doc_id, k.size, b.size as source_size, b.target, b.epochs, floor(b.target - b.epochs * b.size + 0.5) as budget,
+         coalesce(sum(k.size) over (partition by k.source order by k.key, k.doc_id rows between unbounded preceding and 1 preceding), 0) as ahead
+  from k join b on k.source is not distinct from b.source)
+select doc_id, cast(size as bigint) as size, cast(source_size as bigint) as source_size, target,
+       cast(epochs * size + greatest(0, least(size, budget - ahead)) as bigint) as taken from r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op6_embedding_dedup": OP6_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op7_mixing": OP7_SQL}

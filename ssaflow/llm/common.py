@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import posixpath
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,9 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from ssaflow.checkpoints import materialise as materialise
+from ssaflow.checkpoints import shared_root
+
 #: A word: a run of characters other than space and \\t \\n \\v \\f \\r.
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
 
@@ -35,32 +37,18 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (as in tests) one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="ssaflow-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder name below the shared one; it lives as long as its owner keeps checkpoints."""
     return f"{shared_root(spark)}/ssaflow/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again."""
-    spark = df.sparkSession
-    path = shared_dir(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """A file system that Python workers can use, and the path in it."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
+    for mine, theirs in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        uri = theirs + uri[len(mine) :] if uri.startswith(mine) else uri
+    if uri.startswith("file:") and "://" not in uri:
+        uri = "file://" + uri[len("file:") :]
+    return pafs.FileSystem.from_uri(uri)
 
 
 def write_file(uri: str, name: str, data: bytes) -> None:
@@ -125,13 +113,6 @@ def deltas(a: np.ndarray) -> np.ndarray:
     return np.diff(a.astype(np.int64), prepend=np.int64(0))
 
 
-def batches(it: Iterator[pa.RecordBatch], schema: pa.Schema, rows) -> Iterator[pa.RecordBatch]:
-    """Turn each input batch into rows(batch), a dict of columns, and that into a batch of schema."""
-    for batch in it:
-        cols = rows(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
-
-
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 

@@ -151,7 +151,8 @@ def sketches(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            hashes = [shingle_hashes(t, width) for t in batch.column(1).to_pylist()]
+            # the set of shingles counts, not how often each comes
+            hashes = [np.unique(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
             words = [majority([_again(h, salt) for h in hashes]) for salt in _SALTS]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(w.view(np.int64)) for w in words)], ["doc_id", *names])
 
@@ -160,25 +161,44 @@ def sketches(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col:
 
 
 def ball_keys(words: np.ndarray) -> np.ndarray:
-    """For each sketch (a row of words) the values within one bit of each of its short fingerprints, by fingerprint."""
+    """For each sketch (a row of words) the values within one bit of each of its short fingerprints, by fingerprint; the
+    place in a ball tells which bit was changed."""
     short = np.stack([(words[:, k // 2] >> np.uint64(32 * (k % 2))) & np.uint64(0xFFFFFFFF) for k in range(2 * SKETCH_WORDS)], axis=1)
     tables = np.arange(2 * SKETCH_WORDS, dtype=np.uint64) << np.uint64(32)
     return ((short[:, :, None] ^ _BALL[None, None, :]) | tables[None, :, None]).reshape(len(words), -1)
 
 
-def _star_and_chain(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of equal keys: pairs of each node with the least one and with the next smaller one; and each key's least node."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    first = nodes[new][np.cumsum(new) - 1] if len(keys) else nodes
-    rest = ~new
-    a = np.concatenate([nodes[rest], nodes[rest]])
-    b = np.concatenate([first[rest], nodes[np.flatnonzero(rest) - 1]])
-    apart = a != b
-    pairs = np.unique(np.stack([a[apart], b[apart]], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1], keys[new], nodes[new]
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def _ties(nodes: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Within runs of ascending nodes: pairs of each with the least one and with the one before."""
+    rest = np.flatnonzero(~new)
+    first = nodes[new][np.cumsum(new) - 1] if len(nodes) else nodes
+    return np.concatenate([np.stack([nodes[rest], first[rest]], axis=1), np.stack([nodes[rest], nodes[rest - 1]], axis=1)])
+
+
+def met(keys: np.ndarray, bits: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of nodes whose fingerprints meet; and for each value and changed bit, that is for each fingerprint that
+    reaches the value, its least node.
+
+    Equal fingerprints meet in their whole balls. They are paired where no bit is changed; elsewhere the least node
+    stands for them, so that a value sees a fingerprint once, and never more fingerprints than a ball has values.
+    """
+    order = np.lexsort((nodes, bits, keys))
+    keys, bits, nodes = keys[order], bits[order], nodes[order]
+    new = _runs(keys, bits) if len(keys) else np.zeros(0, bool)
+    same = bits == 0
+    pairs = [_ties(nodes[same], new[same])]
+    keys, bits, nodes = keys[new], bits[new], nodes[new]
+    by_node = np.lexsort((nodes, keys))
+    pairs.append(_ties(nodes[by_node], _runs(keys[by_node]) if len(keys) else np.zeros(0, bool)))
+    found = np.concatenate(pairs)
+    return np.unique(found[found[:, 0] != found[:, 1]], axis=0), keys, bits, nodes
 
 
 def candidates(classes: DataFrame, buckets: int) -> DataFrame:
@@ -196,22 +216,23 @@ def candidates(classes: DataFrame, buckets: int) -> DataFrame:
             nodes = batch.column(0).to_numpy()
             words = np.stack([batch.column(k + 1).to_numpy().view(np.uint64) for k in range(SKETCH_WORDS)], axis=1)
             keys = ball_keys(words)
-            a, b, kept, heads = _star_and_chain(keys.reshape(-1), np.repeat(nodes, keys.shape[1]))
-            yield batch_of([None] * len(a), a, b, [None] * len(a))
+            bits = np.tile(np.arange(len(_BALL), dtype=np.uint8), len(nodes) * 2 * SKETCH_WORDS)
+            found, kept, bits, heads = met(keys.reshape(-1), bits, np.repeat(nodes, keys.shape[1]))
+            yield batch_of([None] * len(found), found[:, 0], found[:, 1], [None] * len(found))
             bucket = (_again(kept, _SALTS[0]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             if len(order):
                 for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                    yield batch_of([bucket[part[0]]], [None], [None], [pack(deltas(kept[part].astype(np.int64)), heads[part])])
+                    yield batch_of([bucket[part[0]]], [None], [None], [pack(deltas(kept[part].astype(np.int64)), bits[part], heads[part])])
 
     def meet(table: pa.Table) -> pa.Table:
         blobs = [unpack(x) for x in table.column("blob").to_pylist()]
-        a, b, _, _ = _star_and_chain(np.concatenate([np.cumsum(x[0]) for x in blobs]), np.concatenate([x[1] for x in blobs]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        found, _, _, _ = met(np.concatenate([np.cumsum(x[0]) for x in blobs]), *(np.concatenate([x[k] for x in blobs]) for k in (1, 2)))
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
     sent = materialise(classes.mapInArrow(send, "bucket bigint, a bigint, b bigint, blob binary"), "sketch-keys")
-    met = sent.where("bucket is not null").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
-    return sent.where("bucket is null").select("a", "b").unionByName(met).distinct()
+    across = sent.where("bucket is not null").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
+    return sent.where("bucket is null").select("a", "b").unionByName(across).distinct()
 
 
 def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,22 +40,30 @@ class Archive:
     payloads: str
 
 
-def _digests(pages: DataFrame) -> DataFrame:
-    """page_id, url, and of the payload: sha256, sha1, md5, length and the compressed bytes; row numbers tell rows apart."""
-    names = ["page_id", "url", "sha256", "sha1", "md5", "payload_bytes", "packed", "row"]
+#: Stands for a null id.
+NO_ID = -(1 << 63)
+
+
+def _digests(pages: DataFrame, packed: bool) -> DataFrame:
+    """page_id, url, and of the payload: sha256, sha1, md5 and length; or instead page_id, sha256 and the compressed bytes."""
+    if packed:
+        names, kinds, schema = ["page_id", "sha256", "packed"], [pa.string(), pa.binary()], "page_id bigint, sha256 string, packed binary"
+    else:
+        names, kinds = ["page_id", "url", "sha256", "sha1", "md5", "payload_bytes"], [pa.string(), pa.string(), pa.string(), pa.int64()]
+        schema = "page_id bigint, url string, sha256 string, sha1 string, md5 string, payload_bytes bigint"
+
+    def told(data: bytes) -> tuple:
+        digest = hashlib.sha256(data).hexdigest()
+        return (digest, gzip.compress(data, 6, mtime=0)) if packed else (digest, hashlib.sha1(data).hexdigest(), hashlib.md5(data).hexdigest(), len(data))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
         for batch in it:
-            rows = []
-            for text in batch.column(2).to_pylist():
-                data = text.encode() if text else b""
-                rows.append((hashlib.sha256(data).hexdigest(), hashlib.sha1(data).hexdigest(), hashlib.md5(data).hexdigest(), len(data), gzip.compress(data, 6, mtime=0), row := row + 1))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
+            rows = [told(text.encode() if text else b"") for text in batch.column(2).to_pylist()]
+            cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *([] if packed else [batch.column(1)]), *made], names)
 
-    return pages.mapInArrow(run, "page_id bigint, url string, sha256 string, sha1 string, md5 string, payload_bytes bigint, packed binary, row bigint")
+    return pages.mapInArrow(run, schema)
 
 
 def _uri(url: Column) -> Column:
@@ -87,18 +94,18 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """Write the header and payload tables of an archive with one record per row."""
     folder = folder or shared_dir(pages.sparkSession, "warc")
     named = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"))
-    rows = materialise(_digests(named), "warc-rows")
+    rows = materialise(_digests(named, packed=False), "warc-rows")
     # one small row for each payload: who keeps it, and whether all that have its digest agree
     same = (F.min("md5") == F.max("md5")) & (F.min("payload_bytes") == F.max("payload_bytes"))
-    owners = rows.groupBy("sha256").agg(F.max(F.struct("page_id", "row")).alias("o"), F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("two payloads have one digest"))).alias("verified"))
-    owners = owners.select("sha256", "verified", F.col("o.page_id").alias("owner"), F.col("o.row").alias("row"))
-    headers = rows.drop("packed", "md5", "row").join(owners.drop("row"), "sha256").where("verified")
+    owners = rows.groupBy("sha256").agg(F.max(F.coalesce("page_id", F.lit(NO_ID))).alias("owner"), F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("two payloads have one digest"))).alias("verified"))
+    headers = rows.drop("md5").join(owners, "sha256").where("verified")
     revisits = (F.col("payload_bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull() & (F.col("page_id") < F.col("owner"))
     kind = F.when(revisits, F.lit("revisit")).otherwise(F.lit("response"))
     archive = Archive(f"{folder}/headers", f"{folder}/payloads")
     headers.select("sha256", _header(kind, F.col("owner")).alias("header")).write.parquet(archive.headers)
-    # bytes move only with the row that keeps them, by keys that no two rows share
-    kept = rows.select("sha256", "row", "packed").join(owners.select("sha256", "row"), ["sha256", "row"], "left_semi")
+    # bytes are read again, and move once: with the row that keeps them, by keys that only repeated rows share
+    bytes_of = _digests(named, packed=True).withColumn("owner", F.coalesce("page_id", F.lit(NO_ID))).drop("page_id")
+    kept = bytes_of.join(owners.select("sha256", "owner"), ["sha256", "owner"], "left_semi").dropDuplicates(["sha256", "owner"])
     kept.select("sha256", "packed").write.parquet(archive.payloads)
     return archive
 

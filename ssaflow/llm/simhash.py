@@ -127,6 +127,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
 
 #: Words of 64 bits in a sketch; each holds two fingerprints of 32 bits.
 SKETCH_WORDS = 4
+#: Sets of shingles that a worker remembers.
+KNOWN_SETS = 256
 _SALTS = np.array([xxhash.xxh64_intdigest(bytes([k]), 99) for k in range(SKETCH_WORDS)], np.uint64)
 #: What a fingerprint of 32 bits is combined with to give all values within one bit.
 _BALL = np.array([0, *(1 << b for b in range(32))], np.uint64)
@@ -140,11 +142,6 @@ def _again(h: np.ndarray, salt: np.uint64) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def most_bits(similarity: float) -> int:
-    """Bits in which sketches of texts differ, on average, whose shingle sets have this Jaccard similarity."""
-    return round(64 * SKETCH_WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
 def sketches(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and s0, s1, ...: a SimHash of 64 * SKETCH_WORDS bits; one narrow pass."""
     names = [f"s{k}" for k in range(SKETCH_WORDS)]
@@ -235,20 +232,44 @@ def candidates(classes: DataFrame, buckets: int) -> DataFrame:
     return sent.where("bucket is null").select("a", "b").unionByName(across).distinct()
 
 
+def alike(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Of pairs a, b of ids those whose texts' sets of shingles have at least this Jaccard similarity. docs: doc_id, text."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
+    texts = materialise(docs.join(wanted, "doc_id", "left_semi").distinct(), "similar-texts")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+
+        def of(text: str | None) -> np.ndarray:
+            if text not in known:
+                if len(known) >= KNOWN_SETS:
+                    known.clear()
+                known[text] = np.unique(shingle_hashes(text, width))
+            return known[text]
+
+        for batch in it:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                m, n = of(x), of(y)
+                both = len(np.intersect1d(m, n, assume_unique=True))
+                good.append(both >= similarity * (len(m) + len(n) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("at")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("bt"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "at", "bt").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links a, b between ids of documents: copies with their class's least id, and classes whose sketches are as near
-    as those of texts of the similarity are on average."""
+    """Links a, b between ids of documents: copies with their class's least id, and classes whose texts' sets of shingles
+    have at least the Jaccard similarity."""
     names = [f"s{k}" for k in range(SKETCH_WORDS)]
-    rows = materialise(sketches(docs.where(F.col(id_col).isNotNull()), width, id_col, text_col), "sketches")
+    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = materialise(sketches(docs, width), "sketches")
     classes = materialise(rows.groupBy(*names).agg(F.min("doc_id").alias("node")).select("node", *names), "sketch-classes")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = candidates(classes.repartition(partitions, "node"), 4 * partitions)
-    left = classes.select(F.col("node").alias("a"), *(F.col(n).alias(f"a{n}") for n in names))
-    right = classes.select(F.col("node").alias("b"), *(F.col(n).alias(f"b{n}") for n in names))
-    differ = sum((F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in names[1:]), F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))))
-    near = pairs.join(left, "a").join(right, "b").where(differ <= most_bits(similarity)).select("a", "b")
     copies = rows.join(classes, names).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    return near.unionByName(copies)
+    return alike(materialise(pairs.unionByName(copies), "similar-pairs"), docs, similarity, width)
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -420,3 +420,44 @@ def test_similar_texts(spark):
     assert sum(d is not None and d % 10 == 1 and d < 1000 for d in got) <= 2
     assert 1000 not in got and got.count(None) == 2 and (1001 in got) != (1002 in got)
     assert simhash.keep_one(empty(spark), similarity=0.8).count() == 0
+
+
+def shingle_set(text, width=5):
+    w = words(text)
+    return {" ".join(w[i : i + width]) for i in range(len(w) - width + 1)} or ({" ".join(w)} if w else set())
+
+
+def similar_groups(texts, similarity=0.8):
+    """Components of ids whose shingle sets are as similar, by brute force; alone ones left out."""
+    sets = {d: shingle_set(t) for d, t in texts.items()}
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    named = {d: find(d) for d in ids}
+    sizes = Counter(named.values())
+    return {d: c for d, c in named.items() if sizes[c] > 1}
+
+
+def linked_groups(spark, texts):
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    return {r.node: r.component for r in simhash.components(simhash.similar_links(df, 0.8)).collect()}
+
+
+def test_texts_that_share_a_passage_are_not_linked(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(258)]
+    texts = {k: " ".join(passage + [word() for _ in range(42)]) for k in range(100)}
+    assert similar_groups(texts) == {} and linked_groups(spark, texts) == {}

@@ -10,15 +10,16 @@ texts with fewer words than a shingle are one shingle; repeated rows share a fin
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ssaflow.llm.common import deltas, materialise, pack, unpack, word_blocks
+from ssaflow.llm.common import materialise, word_blocks
 from ssaflow.llm.components import components
 
 #: The seed of the shingles' hash.
@@ -123,40 +124,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
     return prints.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---- similarity of texts: several short fingerprints ------------------------------------------------------------------
+# ---- similarity of texts: prefixes of their sets of shingles ----------------------------------------------------------
 
-#: Words of 64 bits in a sketch; each holds two fingerprints of 32 bits.
-SKETCH_WORDS = 4
+#: Documents, about, that tell which shingles are frequent, and the shingles that are known as frequent at most.
+ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
 #: Sets of shingles that a worker remembers.
 KNOWN_SETS = 256
-_SALTS = np.array([xxhash.xxh64_intdigest(bytes([k]), 99) for k in range(SKETCH_WORDS)], np.uint64)
+
+#: Words of 64 bits in a sketch; each holds two fingerprints of 32 bits.
+SKETCH_WORDS = 4
 #: What a fingerprint of 32 bits is combined with to give all values within one bit.
 _BALL = np.array([0, *(1 << b for b in range(32))], np.uint64)
 
 
-def _again(h: np.ndarray, salt: np.uint64) -> np.ndarray:
-    """Another hash from a hash."""
-    h = h + salt
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def sketches(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and s0, s1, ...: a SimHash of 64 * SKETCH_WORDS bits; one narrow pass."""
-    names = [f"s{k}" for k in range(SKETCH_WORDS)]
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            # the set of shingles counts, not how often each comes
-            hashes = [np.unique(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
-            words = [majority([_again(h, salt) for h in hashes]) for salt in _SALTS]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(w.view(np.int64)) for w in words)], ["doc_id", *names])
-
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
-
-
 def ball_keys(words: np.ndarray) -> np.ndarray:
     """For each sketch (a row of words) the values within one bit of each of its short fingerprints, by fingerprint; the
     place in a ball tells which bit was changed."""
@@ -165,71 +145,59 @@ def ball_keys(words: np.ndarray) -> np.ndarray:
     return ((short[:, :, None] ^ _BALL[None, None, :]) | tables[None, :, None]).reshape(len(words), -1)
 
 
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys begin."""
-    new = np.ones(len(keys[0]), bool)
-    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return new
-
+def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of shingles that several of a bounded sample of documents have, ascending, and the rank of each, the
+    rarest first. docs: doc_id, text.
 
-def _ties(nodes: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Within runs of ascending nodes: pairs of each with the least one and with the one before."""
-    rest = np.flatnonzero(~new)
-    first = nodes[new][np.cumsum(new) - 1] if len(nodes) else nodes
-    return np.concatenate([np.stack([nodes[rest], first[rest]], axis=1), np.stack([nodes[rest], nodes[rest - 1]], axis=1)])
+    They only order shingles: any order that all documents share finds every pair, a good one meets fewer others.
+    """
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            hashes = [np.unique(shingle_hashes(t, width)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *hashes]).view(np.int64))], ["h"])
+
+    share = min(1.0, ORDER_DOCS / max(1, docs.count()))
+    sample = docs.where(F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * share)).select("text")
+    counts = sample.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    rows = counts.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
+    hashes, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order, ranks = np.argsort(hashes), np.empty(len(n), np.int64)
+    ranks[np.lexsort((hashes, n))] = np.arange(len(n))
+    return hashes[order], ranks[order]
+
+
+def prefix(hashes: np.ndarray, known: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the shared order, the rare ones before the known: so many that any set of the
+    similarity has one of them among its own first ones."""
+    n = len(hashes)
+    size = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+    if not len(known):
+        return hashes[:size]
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    common = known[at] == hashes
+    return np.concatenate([hashes[~common], hashes[common][np.argsort(ranks[at[common]])]])[:size]
+
+
+def shingle_rows(docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """doc_id, d0 and d1 (a digest of the set of shingles), n (its size) and first (its prefix); one narrow pass."""
+    known, ranks = frequent(docs, width)
 
-def met(keys: np.ndarray, bits: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of nodes whose fingerprints meet; and for each value and changed bit, that is for each fingerprint that
-    reaches the value, its least node.
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
+            digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64) for h in sets]).reshape(-1, 2)
+            first = [prefix(h, known, ranks, similarity).view(np.int64) for h in sets]
+            cols = [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(h) for h in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "d0", "d1", "n", "first"])
 
-    Equal fingerprints meet in their whole balls. They are paired where no bit is changed; elsewhere the least node
-    stands for them, so that a value sees a fingerprint once, and never more fingerprints than a ball has values.
-    """
-    order = np.lexsort((nodes, bits, keys))
-    keys, bits, nodes = keys[order], bits[order], nodes[order]
-    new = _runs(keys, bits) if len(keys) else np.zeros(0, bool)
-    same = bits == 0
-    pairs = [_ties(nodes[same], new[same])]
-    keys, bits, nodes = keys[new], bits[new], nodes[new]
-    by_node = np.lexsort((nodes, keys))
-    pairs.append(_ties(nodes[by_node], _runs(keys[by_node]) if len(keys) else np.zeros(0, bool)))
-    found = np.concatenate(pairs)
-    return np.unique(found[found[:, 0] != found[:, 1]], axis=0), keys, bits, nodes
-
-
-def candidates(classes: DataFrame, buckets: int) -> DataFrame:
-    """Pairs a, b of nodes whose short fingerprints meet. classes: node, s0, s1, ...
-
-    A task pairs what meets within it and sends on one node for each value, in compressed blobs by bucket.
-    """
-    pairs = pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("blob", pa.binary())])
+    return docs.mapInArrow(run, "doc_id bigint, d0 bigint, d1 bigint, n int, first array<bigint>")
 
-    def batch_of(bucket: list, a: np.ndarray, b: np.ndarray, blob: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(blob, pa.binary())], schema=pairs)
 
-    def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            nodes = batch.column(0).to_numpy()
-            words = np.stack([batch.column(k + 1).to_numpy().view(np.uint64) for k in range(SKETCH_WORDS)], axis=1)
-            keys = ball_keys(words)
-            bits = np.tile(np.arange(len(_BALL), dtype=np.uint8), len(nodes) * 2 * SKETCH_WORDS)
-            found, kept, bits, heads = met(keys.reshape(-1), bits, np.repeat(nodes, keys.shape[1]))
-            yield batch_of([None] * len(found), found[:, 0], found[:, 1], [None] * len(found))
-            bucket = (_again(kept, _SALTS[0]) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            if len(order):
-                for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                    yield batch_of([bucket[part[0]]], [None], [None], [pack(deltas(kept[part].astype(np.int64)), bits[part], heads[part])])
-
-    def meet(table: pa.Table) -> pa.Table:
-        blobs = [unpack(x) for x in table.column("blob").to_pylist()]
-        found, _, _, _ = met(np.concatenate([np.cumsum(x[0]) for x in blobs]), *(np.concatenate([x[k] for x in blobs]) for k in (1, 2)))
-        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
-
-    sent = materialise(classes.mapInArrow(send, "bucket bigint, a bigint, b bigint, blob binary"), "sketch-keys")
-    across = sent.where("bucket is not null").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
-    return sent.where("bucket is null").select("a", "b").unionByName(across).distinct()
+def can_be(similarity: float) -> str:
+    """SQL: whether two sets of sizes n and m, with a common shingle at places i and j in the order, can be as similar."""
+    least = f"{similarity!r}D / (1 + {similarity!r}D) * (n + m) - 1e-9D"
+    return f"least(n, m) >= {similarity!r}D * greatest(n, m) - 1e-9D and least(i, j) + 1 + least(n - i - 1, m - j - 1) >= {least}"
 
 
 def alike(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -261,22 +229,33 @@ def alike(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -> D
 
 def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links a, b between ids of documents: copies with their class's least id, and classes whose texts' sets of shingles
-    have at least the Jaccard similarity."""
-    names = [f"s{k}" for k in range(SKETCH_WORDS)]
+    have at least the Jaccard similarity.
+
+    Sets as similar share a shingle of their prefixes. What shares one is paired with the least and the one before.
+    """
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialise(sketches(docs, width), "sketches")
-    classes = materialise(rows.groupBy(*names).agg(F.min("doc_id").alias("node")).select("node", *names), "sketch-classes")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = candidates(classes.repartition(partitions, "node"), 4 * partitions)
-    copies = rows.join(classes, names).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    return alike(materialise(pairs.unionByName(copies), "similar-pairs"), docs, similarity, width)
+    rows = materialise(shingle_rows(docs, similarity, width), "shingles")
+    # equal sets of shingles have equal prefixes
+    heads = rows.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"))
+    classes = rows.join(heads, ["d0", "d1"])
+    copies = classes.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+    posted = classes.where("doc_id = node").select("node", "n", F.posexplode("first").alias("i", "key"))
+    order = Window.partitionBy("key").orderBy("n", "node")
+    this = F.struct("node", "n", "i")
+    met = posted.select("key", "node", "n", "i", F.lag(this).over(order).alias("before"), F.first(this).over(order).alias("least"), F.lead("node").over(order).alias("after"))
+    # only what shares a shingle is kept
+    met = materialise(met.where("before is not null or after is not null").drop("after"), "shared-shingles")
+    other = F.explode(F.array("before", "least")).alias("other")
+    near = met.where("before is not null").select("node", "n", "i", other).select(F.col("node").alias("a"), F.col("other.node").alias("b"), "n", "i", F.col("other.n").alias("m"), F.col("other.i").alias("j"))
+    pairs = near.where(F.col("a") != F.col("b")).where(can_be(similarity)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return alike(materialise(pairs, "similar-pairs"), docs, similarity, width).unionByName(copies)
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each group the one with the smallest id stays.
 
     Groups are those of near_duplicates; a similarity adds links between texts whose sets of five-word shingles are as
-    similar, by their sketches. Rows without an id can't be named and stay; of rows that repeat an id one stays.
+    similar. Rows without an id can't be named and stay; of rows that repeat an id one stays.
     """
     groups = near_duplicates(docs, width, radius, id_col, text_col).select(F.col(id_col).alias("doc"), "component_id")
     if similarity is None:

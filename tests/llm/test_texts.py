@@ -461,3 +461,19 @@ def test_texts_that_share_a_passage_are_not_linked(spark):
     passage = [word() for _ in range(258)]
     texts = {k: " ".join(passage + [word() for _ in range(42)]) for k in range(100)}
     assert similar_groups(texts) == {} and linked_groups(spark, texts) == {}
+
+
+def test_similar_pairs_near_the_threshold(spark):
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = {}
+    for k in range(60):
+        base = [word() for _ in range(404)]
+        new = 30 + k % 20
+        texts[2 * k] = " ".join(base)
+        texts[2 * k + 1] = " ".join(base[:-new] + [word() for _ in range(new)])
+    want = similar_groups(texts)
+    assert 40 < len(want) < 120
+    assert linked_groups(spark, texts) == want

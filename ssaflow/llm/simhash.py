@@ -227,11 +227,26 @@ def alike(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -> D
     return pairs.join(left, "a").join(right, "b").select("a", "b", "at", "bt").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def unconnected(met: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of nodes that share shingles, can be as similar by these, and aren't in one component. met: key, node,
+    n, i; of: node, component."""
+    named = met.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    named = materialise(named.join(mixed, "key", "left_semi"), "shared-apart")
+    other = named.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("far"))
+    pairs = named.withColumnRenamed("node", "a").join(other, "key").where("a > b and component <> far").where(can_be(similarity))
+    # what is common beyond the prefix that ends first is in the rest of that set
+    rest = f"greatest(ceil({similarity!r}D * n - 1e-9D), ceil({similarity!r}D * m - 1e-9D)) - 1"
+    counted = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"))
+    return counted.where(f"shared + {rest} >= {similarity!r}D / (1 + {similarity!r}D) * (n + m) - 1e-9D").select("a", "b").distinct()
+
+
 def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links a, b between ids of documents: copies with their class's least id, and classes whose texts' sets of shingles
     have at least the Jaccard similarity.
 
-    Sets as similar share a shingle of their prefixes. What shares one is paired with the least and the one before.
+    Sets as similar share a shingle of their prefixes. What shares one is first paired with the least and the one before;
+    then all that share one and aren't connected yet are paired, so that each pair is decided or connected already.
     """
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialise(shingle_rows(docs, similarity, width), "shingles")
@@ -248,7 +263,11 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_c
     other = F.explode(F.array("before", "least")).alias("other")
     near = met.where("before is not null").select("node", "n", "i", other).select(F.col("node").alias("a"), F.col("other.node").alias("b"), "n", "i", F.col("other.n").alias("m"), F.col("other.i").alias("j"))
     pairs = near.where(F.col("a") != F.col("b")).where(can_be(similarity)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return alike(materialise(pairs, "similar-pairs"), docs, similarity, width).unionByName(copies)
+    pairs = materialise(pairs, "similar-pairs")
+    linked = materialise(alike(pairs, docs, similarity, width), "similar-links")
+    of = components(linked, "similar-linked")
+    rest = materialise(unconnected(met.select("key", "node", "n", "i").distinct(), of, similarity).join(pairs, ["a", "b"], "left_anti"), "similar-rest")
+    return linked.unionByName(alike(rest, docs, similarity, width)).unionByName(copies)
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

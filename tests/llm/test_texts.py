@@ -477,3 +477,21 @@ def test_similar_pairs_near_the_threshold(spark):
     want = similar_groups(texts)
     assert 40 < len(want) < 120
     assert linked_groups(spark, texts) == want
+
+
+def test_all_that_share_shingles_are_compared(spark, monkeypatch):
+    import random
+
+    # no shingle is known as frequent: those of the templates are in the prefixes of many that aren't similar
+    monkeypatch.setattr(simhash, "ORDER_DOCS", 0)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    templates = [[word() for _ in range(24)] for _ in range(4)]
+    tails = [word() for _ in range(3)]
+    texts = {}
+    for k in range(300):
+        base = list(rng.choice(templates))
+        for _ in range(rng.randrange(3)):
+            base[rng.randrange(24)] = rng.choice(tails)
+        texts[k] = " ".join(base + [rng.choice(tails) for _ in range(rng.randrange(5))])
+    assert linked_groups(spark, texts) == similar_groups(texts)

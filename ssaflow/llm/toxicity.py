@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are lower-case words and word beginnings. Those that a bounded sample of labelled rows shows to depend on the
-label are the vocabulary; their document frequencies are counted over the whole corpus. Part of the sample becomes the
+Terms are lower-case words and word beginnings. All that a bounded sample of labelled rows shows to depend on the
+label are the vocabulary, weighted by how much they do; their document frequencies are counted over the whole corpus. Part of the sample becomes the
 examples, in an inverted index whose blocks keep each term's greatest weight: a search takes blocks by their upper
 bounds and stops when no block left can hold a nearer example, so the nearest are exact. Votes weigh by distance; the
 other part of the sample calibrates them (isotonic), as it does the score of texts without any term.
@@ -29,10 +29,8 @@ from ssaflow.llm.common import materialise
 
 #: Labelled rows of each label that the fit samples, about; half become examples, half calibrate.
 SAMPLE_ROWS = 8_000
-#: Terms of the vocabulary at most, and the least dependence on the label (chi-square) and frequency in the sample.
-MOST_TERMS, LEAST_CHI2, LEAST_DF = 512, 22.0, 4
-#: The least dependence as a share of the greatest: copies of a few documents also make their rare words depend.
-LEAST_SHARE = 0.05
+#: A term's least dependence on the label (chi-square) and frequency among the sample's distinct texts.
+LEAST_CHI2, LEAST_DF = 22.0, 4
 #: Lengths of the word beginnings that are terms.
 BEGINNINGS = (4, 5, 6)
 #: Examples in a block of the index.
@@ -187,7 +185,10 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame |
     return materialise(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y", "example"), "toxicity-sample"), share
 
 
-def _vocabulary(sample: DataFrame, most: int = MOST_TERMS) -> dict[str, int]:
+def _vocabulary(sample: DataFrame) -> dict[str, float]:
+    """The terms that depend on the label, by name, and how much (the phi coefficient). Copies count once."""
+    sample = sample.select("text", "y").distinct()
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             counts: tuple[Counter, Counter] = Counter(), Counter()
@@ -204,9 +205,8 @@ def _vocabulary(sample: DataFrame, most: int = MOST_TERMS) -> dict[str, int]:
     total = n0 + n1
     # chi-square of the term's presence against the label
     chi2 = F.lit(total) * F.pow(F.col("b") * F.lit(n0) - F.col("a") * F.lit(n1), 2) / ((F.col("a") + F.col("b")) * (F.lit(total) - F.col("a") - F.col("b")) * F.lit(n0) * F.lit(n1))
-    top = df.where(F.col("a") + F.col("b") >= LEAST_DF).withColumn("chi2", F.when(F.col("a") + F.col("b") < total, chi2)).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(most).collect()
-    top = [r for r in top if r.chi2 >= LEAST_SHARE * top[0].chi2]
-    return {r.term: k for k, r in enumerate(sorted(top, key=lambda r: r.term))}
+    depend = df.where(F.col("a") + F.col("b") >= LEAST_DF).withColumn("chi2", F.when(F.col("a") + F.col("b") < total, chi2)).where(F.col("chi2") >= LEAST_CHI2).collect()
+    return {r.term: math.sqrt(r.chi2 / total) for r in sorted(depend, key=lambda r: r.term)}
 
 
 def _idf(docs: DataFrame, vocabulary: dict[str, int]) -> list[float]:
@@ -228,10 +228,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     """docs: doc_id, text; labels: doc_id, toxic. Held-out documents' labels aren't used."""
     docs = docs.select("doc_id", "text")
     sample, share = _sample(docs, labels, sample_rows)
-    vocabulary = _vocabulary(sample) if sample is not None else {}
-    if not vocabulary:
+    dependence = _vocabulary(sample) if sample is not None else {}
+    if not dependence:
         return ToxicityModel({}, [], None, share, ([], []))
-    idf = _idf(docs, vocabulary)
+    vocabulary = {term: k for k, term in enumerate(dependence)}
+    # a term weighs by its rarity and by its dependence on the label
+    idf = [w * d for w, d in zip(_idf(docs, vocabulary), dependence.values(), strict=True)]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TermCounter(vocabulary)

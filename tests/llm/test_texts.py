@@ -495,3 +495,17 @@ def test_all_that_share_shingles_are_compared(spark, monkeypatch):
             base[rng.randrange(24)] = rng.choice(tails)
         texts[k] = " ".join(base + [rng.choice(tails) for _ in range(rng.randrange(5))])
     assert linked_groups(spark, texts) == similar_groups(texts)
+
+
+def test_rare_toxic_words_are_learnt(spark):
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("lmnopqrst") for _ in range(5))
+    toxic = lambda k: k % 2 == 0
+    rows = [(k, " ".join([word() for _ in range(12)] + ["vile" if k % 40 == 0 else "awful"] * toxic(k))) for k in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(toxic(k))) for k, _ in rows], "doc_id bigint, toxic int")
+    out = {r.doc_id: r for r in toxicity.score(df, toxicity.fit(df, labels)).collect()}
+    assert all(out[k].predicted == 1 for k in range(0, 2400, 40))
+    assert sum(r.predicted for d, r in out.items() if not toxic(d)) <= 12

@@ -1,10 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are lower-case words and word beginnings. All that a bounded sample of labelled rows shows to depend on the
-label are the vocabulary, weighted by how much they do; their document frequencies are counted over the whole corpus. Part of the sample becomes the
-examples, in an inverted index whose blocks keep each term's greatest weight: a search takes blocks by their upper
-bounds and stops when no block left can hold a nearer example, so the nearest are exact. Votes weigh by distance; the
-other part of the sample calibrates them (isotonic), as it does the score of texts without any term.
+Terms are lower-case words and word beginnings; every term of the examples counts. A term weighs by its frequency in the
+text, its rarity among all documents and its dependence on the label in a bounded sample of labelled rows; none weighs
+nothing. The index keeps each term's greatest weight in each block of examples: a search takes blocks by their upper
+bounds and stops when no block left can hold a nearer example, so the nearest are exact. Votes weigh by distance, and the
+sample's own votes, each without its equals, calibrate them (isotonic).
 
 Defined results: a null or empty text has no term and gets the calibrated score of such texts; labels that are null are
 ignored, and a document labelled more than once counts by its greatest label; without labels of both kinds every score
@@ -16,31 +16,37 @@ from __future__ import annotations
 import bisect
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ssaflow.llm.common import materialise
+from ssaflow.llm.common import materialise, pack, unpack
 
-#: Labelled rows of each label that the fit samples, about; half become examples, half calibrate.
+#: Labelled rows of each label that the fit samples, about: they tell what terms depend on the label, and calibrate.
 SAMPLE_ROWS = 8_000
-#: A term's least dependence on the label (chi-square) and frequency among the sample's distinct texts.
-LEAST_CHI2, LEAST_DF = 22.0, 4
+#: Sampled rows of each label that become examples, and the terms that all examples have together, at most: the bound of what is broadcast.
+EXAMPLES, EXAMPLE_TERMS = 1_000, 4_000_000
+#: What a term weighs, as a factor, without any dependence on the label.
+LEAST_FACTOR = 0.01
 #: Lengths of the word beginnings that are terms.
 BEGINNINGS = (4, 5, 6)
 #: Examples in a block of the index.
-BLOCK = 64
+BLOCK = 32
 #: Examples that vote.
 NEIGHBOURS = 15
-#: Chunks of text whose terms a worker remembers.
-CACHE_ENTRIES = 200_000
+#: Chunks of text whose terms a worker remembers, and the longest of them.
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
+#: Characters whose terms are counted at a time.
+COUNT_CHARS = 1 << 22
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_SPACE = re.compile(r"\s")
 
 
 def terms_of(chunk: str) -> list[str]:
@@ -52,32 +58,76 @@ def terms_of(chunk: str) -> list[str]:
     return out
 
 
+def pieces(texts: Sequence[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """The lower-case texts with their places, some at a time; long ones in several pieces, cut at white space."""
+    places, held, size = [], [], 0
+    for place, text in enumerate(texts):
+        text, at = (text or "").lower(), 0
+        while at < len(text):
+            cut = _SPACE.search(text, at + COUNT_CHARS) if len(text) - at > COUNT_CHARS else None
+            end = cut.start() if cut else len(text)
+            places.append(place)
+            held.append(text[at:end])
+            size, at = size + end - at, end
+            if size >= COUNT_CHARS:
+                yield places, held
+                places, held, size = [], [], 0
+    if held:
+        yield places, held
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the sum of n for each."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
+
+
 class TermCounter(dict):
-    """Counts of a vocabulary's terms in texts; remembers the terms of chunks between white space."""
+    """Counts of a vocabulary's terms in texts; remembers the terms of short chunks between white space."""
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
         super().__init__()
         self.vocabulary = vocabulary
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
         get = self.vocabulary.get
-        found = self[chunk] = tuple(k for k in map(get, terms_of(chunk)) if k is not None)
+        found = tuple(k for k in map(get, terms_of(chunk)) if k is not None)
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[chunk] = found
         return found
 
-    def count(self, text: str | None) -> dict[int, int]:
-        if not text:
-            return {}
-        hits = [x for x in map(self.__getitem__, text.lower().split()) if x]
-        return Counter([k for x in hits for k in x]) if hits else {}
-
-
-def weighted(counts: dict[int, int], idf: Sequence[float]) -> list[tuple[int, float]]:
-    """A unit TF-IDF vector as (term, weight), by term."""
-    raw = [(t, (1.0 + math.log(n)) * idf[t]) for t, n in sorted(counts.items())]
-    norm = math.sqrt(sum(w * w for _, w in raw))
-    return [(t, w / norm) for t, w in raw] if norm else []
+    def counts(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the places in rising order of its terms: the texts' bounds, the terms, their counts."""
+        many, found = max(1, len(self.vocabulary)), []
+        for places, held in pieces(texts):
+            split = pc.utf8_split_whitespace(pa.array(held, pa.large_string()))
+            chunks = split.flatten().dictionary_encode()
+            unique = [self[c] for c in chunks.dictionary.to_pylist()]
+            sizes = np.fromiter(map(len, unique), np.int64, len(unique))
+            flat = np.fromiter(chain.from_iterable(unique), np.int64, int(sizes.sum()))
+            doc = np.repeat(np.array(places, np.int64), np.diff(split.offsets.to_numpy()))
+            # each text's distinct chunks, then their terms
+            key, n = summed(doc * max(1, len(unique)) + chunks.indices.to_numpy(zero_copy_only=False), np.ones(len(doc), np.int64))
+            doc, chunk = np.divmod(key, max(1, len(unique)))
+            size = sizes[chunk]
+            terms = flat[ranges((np.cumsum(sizes) - sizes)[chunk], size)]
+            found.append(summed(np.repeat(doc, size) * many + terms, np.repeat(n, size)))
+        none = np.empty(0, np.int64)
+        key, n = found[0] if len(found) == 1 else summed(np.concatenate([none, *(k for k, _ in found)]), np.concatenate([none, *(n for _, n in found)]))
+        doc, term = np.divmod(key, many)
+        return np.searchsorted(doc, np.arange(len(texts) + 1)), term, n
 
 
 @dataclass
@@ -86,83 +136,125 @@ class BlockMaxIndex:
 
     labels: np.ndarray
     ids: list
-    tops: np.ndarray = field(init=False)
-    postings: dict = field(init=False)
+    #: where each term's blocks start; of each (term, block) the block, the greatest weight and where its postings start; of each posting the example's place and weight
+    terms: np.ndarray = field(init=False)
+    block: np.ndarray = field(init=False)
+    top: np.ndarray = field(init=False)
+    first: np.ndarray = field(init=False)
+    place: np.ndarray = field(init=False)
+    weight: np.ndarray = field(init=False)
 
     @classmethod
-    def build(cls, vectors: list[list[tuple[int, float]]], labels: Sequence[int], ids: Sequence, n_terms: int) -> BlockMaxIndex:
+    def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]], labels: Sequence[int], ids: Sequence, n_terms: int) -> BlockMaxIndex:
+        """vectors: of each example its terms, ascending, and their weights."""
         # examples led by the same terms lie together, which makes the blocks' bounds tight
-        order = sorted(range(len(vectors)), key=lambda k: ([t for t, _ in sorted(vectors[k], key=lambda x: (-x[1], x[0]))], k))
+        led = [tuple(t[np.lexsort((t, -w))][:8].tolist()) for t, w in vectors]
+        order = sorted(range(len(vectors)), key=lambda k: (led[k], k))
         self = cls(np.array([labels[k] for k in order], np.float64), [ids[k] for k in order])
-        blocks = -(-len(order) // BLOCK)
-        self.tops = np.zeros((n_terms, max(1, blocks)))
-        lists: dict[tuple[int, int], list] = {}
-        for at, k in enumerate(order):
-            for t, w in vectors[k]:
-                self.tops[t, at // BLOCK] = max(self.tops[t, at // BLOCK], w)
-                lists.setdefault((t, at // BLOCK), []).append((at % BLOCK, w))
-        self.postings = {key: (np.array([a for a, _ in x]), np.array([w for _, w in x])) for key, x in lists.items()}
+        sizes = [len(vectors[k][0]) for k in order]
+        term = np.concatenate([np.empty(0, np.int64), *(vectors[k][0] for k in order)]).astype(np.int64)
+        weight = np.concatenate([np.empty(0), *(vectors[k][1] for k in order)])
+        place = np.repeat(np.arange(len(order)), sizes)
+        by = np.lexsort((place, term))
+        term, self.place, self.weight = term[by], place[by].astype(np.int32), weight[by]
+        key = term * (len(order) // BLOCK + 1) + self.place // BLOCK
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        self.top = np.maximum.reduceat(self.weight, heads) if len(heads) else np.empty(0)
+        self.block, self.first = self.place[heads] // BLOCK, np.append(heads, len(key))
+        self.terms = np.searchsorted(term[heads], np.arange(n_terms + 1))
         return self
 
-    def nearest(self, query: list[tuple[int, float]], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """The k examples of greatest cosine above 0 as (cosine, place); equal ones by place."""
-        if not query:
-            return []
-        bounds = sum(w * self.tops[t] for t, w in query)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, below: float = math.inf) -> list[tuple[float, int]]:
+        """The k examples of greatest cosine above 0 (and below a bound) as (cosine, place); equal ones by place."""
+        many, found = -(-len(self.ids) // BLOCK), (np.empty(0), np.empty(0, np.int64))
+        sizes = self.terms[terms + 1] - self.terms[terms]
+        entries, each = ranges(self.terms[terms], sizes), np.repeat(weights, sizes)
+        blocks = self.block[entries]
+        bounds = np.bincount(blocks, weights=each * self.top[entries], minlength=many)
+        order = np.argsort(-bounds, kind="stable")
+        at, wave = 0, 2
+        while at < many:
+            least = found[0][k - 1] if len(found[0]) == k else 0.0
+            # a bound is rounded as a cosine is
+            take = [b for b in order[at : at + wave] if bounds[b] > 0 and bounds[b] >= least - 1e-9]
+            if not take:
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in query:
-                if hit := self.postings.get((t, int(b))):
-                    scores[hit[0]] += w * hit[1]
-            least = -best[-1][0] if len(best) == k else 0.0
-            for at in np.flatnonzero((scores > 0) & (scores >= least)):
-                bisect.insort(best, (-round(float(scores[at]), 12), int(b) * BLOCK + int(at)))
-            del best[k:]
-        return [(-s, at) for s, at in best]
-
-
-def isotonic(xs: Sequence[float], ys: Sequence[float]) -> tuple[list[float], list[float]]:
-    """Steps of a rising fit: the value from each threshold on."""
+            here = np.zeros(many, bool)
+            here[take] = True
+            mine = here[blocks]
+            start = self.first[entries[mine]]
+            n = self.first[entries[mine] + 1] - start
+            posts = ranges(start, n)
+            cosines = np.round(np.bincount(self.place[posts], weights=np.repeat(each[mine], n) * self.weight[posts], minlength=len(self.ids)), 12)
+            new = np.flatnonzero((cosines > 0) & (cosines >= least) & (cosines < below))
+            cosine, place = np.concatenate([found[0], cosines[new]]), np.concatenate([found[1], new])
+            best = np.lexsort((place, -cosine))[:k]
+            found = cosine[best], place[best]
+            at, wave = at + wave, 2 * wave
+        return list(zip(found[0].tolist(), found[1].tolist(), strict=True))
+
+
+def isotonic(xs: Sequence[float], ys: Sequence[float], weights: Sequence[float] | None = None) -> tuple[list[float], list[float]]:
+    """Steps of a rising weighted fit: the value from each threshold on."""
     blocks: list[list[float]] = []
-    for x, y in sorted(zip(xs, ys, strict=True)):
+    for x, y, w in sorted(zip(xs, ys, weights if weights is not None else [1.0] * len(xs), strict=True)):
         if blocks and blocks[-1][0] == x:
-            blocks[-1][1] += y
-            blocks[-1][2] += 1
+            blocks[-1][1] += w * y
+            blocks[-1][2] += w
         else:
-            blocks.append([x, y, 1.0])
+            blocks.append([x, w * y, w])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             _, s, n = blocks.pop()
             blocks[-1][1] += s
             blocks[-1][2] += n
-    return [b[0] for b in blocks], [(b[1] + 0.5) / (b[2] + 1) if b[2] < 20 else b[1] / b[2] for b in blocks]
+    return [b[0] for b in blocks], [b[1] / b[2] for b in blocks]
 
 
 @dataclass
 class ToxicityModel:
     vocabulary: dict[str, int]
-    idf: list[float]
+    weights: np.ndarray
     index: BlockMaxIndex | None
     without: float
     steps: tuple[list[float], list[float]]
 
-    def vote(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(weighted(counts, self.idf))
-        weights = [1.0 / (1.05 - cosine) for cosine, _ in near]
-        vote = sum(w * float(self.index.labels[at]) for w, (_, at) in zip(weights, near, strict=True))
-        return round(vote / sum(weights), 9) if near else -1.0, near
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list]:
-        """The calibrated score, and the ids of the examples that it rests on, nearest first."""
-        if not counts or self.index is None:
-            return self.without, []
-        raw, near = self.vote(counts)
-        if raw < 0:
-            return self.without, []
-        at = bisect.bisect_right(self.steps[0], raw) - 1
-        return (self.steps[1][max(at, 0)] if self.steps[0] else raw), [self.index.ids[p] for _, p in near]
+    def vectors(self, bounds: np.ndarray, terms: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The weights of unit TF-IDF vectors."""
+        raw = (1.0 + np.log(n)) * self.weights[terms]
+        sizes = np.diff(bounds)
+        norms = np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=raw * raw, minlength=len(sizes)))
+        return raw / np.repeat(norms, sizes)
+
+    def vote(self, terms: np.ndarray, weights: np.ndarray, below: float = math.inf) -> tuple[float, list[tuple[float, int]]]:
+        near = self.index.nearest(terms, weights, below=below)
+        votes = [1.0 / (1.05 - cosine) for cosine, _ in near]
+        vote = sum(w * float(self.index.labels[at]) for w, (_, at) in zip(votes, near, strict=True))
+        return round(vote / sum(votes), 9) if near else -1.0, near
+
+    def calibrated(self, raw: float) -> float:
+        if raw < 0 or not self.steps[0]:
+            return self.without
+        return self.steps[1][max(bisect.bisect_right(self.steps[0], raw) - 1, 0)]
+
+    def score(self, texts: Sequence[str | None], counter: TermCounter, known: dict | None = None) -> list[tuple[float, list]]:
+        """Of each text the calibrated score, and the ids of the examples that it rests on, nearest first."""
+        if self.index is None:
+            return [(self.without, [])] * len(texts)
+        bounds, terms, n = counter.counts(texts)
+        weights, out = self.vectors(bounds, terms, n), []
+        known = {} if known is None else known
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            # texts with the same counts score the same
+            key = terms[a:b].astype(np.int32).tobytes() + n[a:b].astype(np.int32).tobytes() if b - a < 2_000 else None
+            if (done := known.get(key) if key is not None else None) is None:
+                raw, near = self.vote(terms[a:b], weights[a:b])
+                done = self.calibrated(raw), [self.index.ids[p] for _, p in near]
+                if key is not None:
+                    if len(known) >= 4_000:
+                        known.clear()
+                    known[key] = done
+            out.append(done)
+        return out
 
 
 def held_out(column: str):
@@ -171,7 +263,7 @@ def held_out(column: str):
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame | None, float]:
-    """doc_id, text, y and part of about `rows` labelled documents of each label; the share of label 1."""
+    """doc_id, text, y and an order of about `rows` labelled documents of each label; the share of label 1."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     n = {r.y: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -181,95 +273,148 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame |
     at = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1 << 30))
     keep = F.when(F.col("y") == 1, at < int((1 << 30) * min(1.0, rows / n[1]))).otherwise(at < int((1 << 30) * min(1.0, rows / n[0])))
     # at most about twice `rows` ids are broadcast
-    ids = known.where(keep).select("doc_id", "y", (F.pmod(F.xxhash64(F.lit(12), F.col("doc_id")), F.lit(2)) == 0).alias("example"))
-    return materialise(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y", "example"), "toxicity-sample"), share
+    ids = known.where(keep).select("doc_id", "y", F.xxhash64(F.lit(12), F.col("doc_id")).alias("rank"))
+    return materialise(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y", "rank"), "toxicity-sample"), share
 
 
-def _vocabulary(sample: DataFrame) -> dict[str, float]:
-    """The terms that depend on the label, by name, and how much (the phi coefficient). Copies count once."""
-    sample = sample.select("text", "y").distinct()
+def _examples(sample: DataFrame) -> list[tuple]:
+    """doc_id, y, terms and counts of the examples: the first of each label in the sample's order, within the bounds."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            counts: tuple[Counter, Counter] = Counter(), Counter()
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[y].update(set(terms_of((text or "").lower())))
-            both = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([counts[0][t] for t in both], pa.int64()), pa.array([counts[1][t] for t in both], pa.int64())], ["term", "n0", "n1"])
-
-    n = {r.y: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = float(n.get(0, 0)), float(n.get(1, 0))
-    if not n0 or not n1:
-        return {}
-    df = sample.select("text", "y").mapInArrow(run, "term string, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
-    total = n0 + n1
-    # chi-square of the term's presence against the label
-    chi2 = F.lit(total) * F.pow(F.col("b") * F.lit(n0) - F.col("a") * F.lit(n1), 2) / ((F.col("a") + F.col("b")) * (F.lit(total) - F.col("a") - F.col("b")) * F.lit(n0) * F.lit(n1))
-    depend = df.where(F.col("a") + F.col("b") >= LEAST_DF).withColumn("chi2", F.when(F.col("a") + F.col("b") < total, chi2)).where(F.col("chi2") >= LEAST_CHI2).collect()
-    return {r.term: math.sqrt(r.chi2 / total) for r in sorted(depend, key=lambda r: r.term)}
-
-
-def _idf(docs: DataFrame, vocabulary: dict[str, int]) -> list[float]:
-    """Inverse document frequencies, counted over every document."""
+            vocabulary = dict.fromkeys(t for text in batch.column(3).to_pylist() for t in terms_of((text or "").lower()))
+            names = np.array(list(vocabulary), object)
+            bounds, terms, n = TermCounter({t: k for k, t in enumerate(names)}).counts(batch.column(3).to_pylist())
+            offsets = pa.array(bounds, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(names[terms] if len(names) else [], pa.string())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(bounds), pa.int64()), *lists], ["doc_id", "y", "rank", "size", "terms", "n"])
+
+    kind = dict(sample.dtypes)["doc_id"]
+    ranked = []
+    for y in (0, 1):
+        first = sample.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy("rank", "doc_id").limit(EXAMPLES)
+        counted = materialise(first.select("doc_id", "y", "rank", "text").mapInArrow(run, f"doc_id {kind}, y int, rank bigint, size bigint, terms array<string>, n array<bigint>"), "toxicity-examples")
+        sizes = sorted((r["rank"], r.doc_id, r["size"]) for r in counted.select("rank", "doc_id", "size").collect())
+        total, last = 0, None
+        for at, doc, size in sizes:
+            if (total := total + size) > EXAMPLE_TERMS // 2:
+                break
+            last = (at, doc)
+        if last:
+            table = counted.where((F.col("rank") < last[0]) | (F.col("rank") == last[0]) & (F.col("doc_id") <= last[1])).where("size > 0").orderBy("rank", "doc_id").toArrow()
+            ranked += list(zip(table["doc_id"].to_pylist(), table["y"].to_pylist(), table["terms"], table["n"], strict=True))
+    return ranked
+
+
+def document_frequencies(rows: DataFrame, vocabulary, slices: int) -> dict[int, np.ndarray]:
+    """For each value of g, and -1 for the number of rows of that g, how many rows have each term. rows: g int, text.
+
+    Every task counts its rows; the counts are summed by slices of the vocabulary, which has a bounded size.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, df = TermCounter(vocabulary), Counter()
+        many = len(vocabulary.value)
+        counter, sums = TermCounter(vocabulary.value), {}
         for batch in it:
-            df[-1] += batch.num_rows
-            for text in batch.column(0).to_pylist():
-                df.update(counter.count(text).keys())
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int32()), pa.array(list(df.values()), pa.int64())], ["t", "n"])
-
-    sums = {r.t: r["n"] for r in docs.select("text").mapInArrow(run, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    return [math.log((1 + sums.get(-1, 0)) / (1 + sums.get(t, 0))) + 1.0 for t in range(len(vocabulary))]
+            groups, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            for g in np.unique(groups).tolist():
+                mine = [t for t, x in zip(texts, groups == g, strict=True) if x]
+                _, terms, _ = counter.counts(mine)
+                total = sums.setdefault(g, np.zeros(many + 1, np.int64))
+                total[:many] += np.bincount(terms, minlength=many)
+                total[many] += len(mine)
+        parts = [(g, k, pack(x)) for g, total in sums.items() for k, x in enumerate(np.array_split(total, slices))]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.binary())], ["g", "part", "n"])
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for blob in batch.column("n").to_pylist():
+                x = unpack(blob)[0]
+                total = x if total is None else total + x
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([pack(total)], pa.binary())], ["g", "part", "n"])
+
+    counted = rows.select("g", "text").mapInArrow(run, "g int, part int, n binary").groupBy("g", "part").applyInArrow(add, "g int, part int, n binary")
+    found: dict[int, dict[int, np.ndarray]] = {}
+    for r in counted.collect():
+        found.setdefault(r.g, {})[r.part] = unpack(bytes(r.n))[0]
+    return {g: np.concatenate([parts[k] for k in sorted(parts)]) for g, parts in found.items()}
+
+
+def dependence(with_term: np.ndarray, rows: float, with_toxic: np.ndarray, toxic: float) -> np.ndarray:
+    """How much each term's presence depends on the label: the phi coefficient, corrected for continuity."""
+    n0, n1, total = rows - toxic, toxic, rows
+    a, b = with_term - with_toxic, with_toxic
+    off = np.maximum(0.0, np.abs(b * n0 - a * n1) - total / 2)
+    spread = with_term * (total - with_term) * n0 * n1
+    return np.where(spread > 0, off / np.sqrt(np.maximum(spread, 1.0)), 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """docs: doc_id, text; labels: doc_id, toxic. Held-out documents' labels aren't used."""
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sample, share = _sample(docs, labels, sample_rows)
-    dependence = _vocabulary(sample) if sample is not None else {}
-    if not dependence:
-        return ToxicityModel({}, [], None, share, ([], []))
-    vocabulary = {term: k for k, term in enumerate(dependence)}
-    # a term weighs by its rarity and by its dependence on the label
-    idf = [w * d for w, d in zip(_idf(docs, vocabulary), dependence.values(), strict=True)]
+    examples = _examples(sample) if sample is not None else []
+    if len({y for _, y, _, _ in examples}) < 2:
+        return ToxicityModel({}, np.empty(0), None, share, ([], []))
+    names = pa.chunked_array([terms.values for _, _, terms, _ in examples]).unique().to_pylist()
+    vocabulary = {t: k for k, t in enumerate(sorted(names))}
+    shared = spark.sparkContext.broadcast(vocabulary)
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # copies count once
+    told = document_frequencies(sample.select(F.col("y").alias("g"), "text").distinct(), shared, slices)
+    corpus = document_frequencies(docs.select(F.lit(0).alias("g"), "text"), shared, slices)[0]
+    both = told[0] + told[1]
+    depends = dependence(both[:-1].astype(float), float(both[-1]), told[1][:-1].astype(float), float(told[1][-1]))
+    idf = np.log((1 + corpus[-1]) / (1 + corpus[:-1])) + 1.0
+    model = ToxicityModel(vocabulary, idf * (LEAST_FACTOR + depends), None, share, ([], []))
+    vectors = []
+    for _, _, terms, n in examples:
+        at = np.array([vocabulary[t] for t in terms.as_py()], np.int64)
+        by = np.argsort(at)
+        vectors.append((at[by], model.vectors(np.array([0, len(at)]), at[by], np.array(n.as_py())[by])))
+    model.index = BlockMaxIndex.build(vectors, [y for _, y, _, _ in examples], [doc for doc, _, _, _ in examples], len(vocabulary))
+    _calibrate(model, sample, share)
+    return model
+
+
+def _calibrate(model: ToxicityModel, sample: DataFrame, share: float) -> None:
+    """From the votes of the sample's rows, each without the examples equal to it."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(vocabulary)
+        held = shared.value
+        counter = TermCounter(held.vocabulary)
         for batch in it:
-            found = [counter.count(t) for t in batch.column(3).to_pylist()]
-            lists = [pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["doc_id", "y", "example", "t", "n"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    # bounded by the sample and the vocabulary
-    rows = sample.select("doc_id", "y", "example", "text").mapInArrow(run, f"doc_id {kind}, y int, example boolean, t array<int>, n array<bigint>").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    vectors = [(r, dict(zip(r.t, r["n"], strict=True))) for r in rows]
-    examples = [(r, v) for r, v in vectors if r.example and v]
-    index = BlockMaxIndex.build([weighted(v, idf) for _, v in examples], [r.y for r, _ in examples], [r.doc_id for r, _ in examples], len(vocabulary)) if examples else None
-    model = ToxicityModel(vocabulary, idf, index, share, ([], []))
-    # the sample has the labels in other shares than the corpus: each calibration row weighs by its label's share
-    check = [(r, v) for r, v in vectors if not r.example]
-    n1 = sum(r.y for r, _ in check)
-    w1, w0 = share / max(1, n1), (1 - share) / max(1, len(check) - n1)
-    without = [r.y for r, v in check if not v]
-    model.without = (sum(without) + 0.5) * w1 / ((sum(without) + 0.5) * w1 + (len(without) - sum(without) + 0.5) * w0) if check and w1 + w0 > 0 else share
-    if index is not None:
-        voted = [(model.vote(v)[0], r.y) for r, v in check if v]
-        model.steps = isotonic([x for x, _ in voted if x >= 0], [y for x, y in voted if x >= 0])
-    return model
+            bounds, terms, n = counter.counts(batch.column(1).to_pylist())
+            weights = held.vectors(bounds, terms, n)
+            raw = [held.vote(terms[a:b], weights[a:b], 1 - 1e-9)[0] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.float64())], ["y", "raw"])
+
+    # bounded by the sample
+    voted = sample.select("y", "text").distinct().mapInArrow(run, "y int, raw double").collect()
+    n1 = sum(r.y for r in voted)
+    # the sample has the labels in other shares than the corpus: each row weighs by its label's share
+    weight = {1: share / max(1, n1), 0: (1 - share) / max(1, len(voted) - n1)}
+    # texts without a term: their share of label 1, and one row more that has the corpus' share
+    none = [sum(r.raw < 0 and r.y == y for r in voted) * weight[y] for y in (0, 1)]
+    more = 1 / max(1, len(voted))
+    model.without = (none[1] + share * more) / (none[0] + none[1] + more)
+    rows = sorted((r.raw, r.y) for r in voted if r.raw >= 0)
+    model.steps = isotonic([x for x, _ in rows], [float(y) for _, y in rows], [weight[y] for _, y in rows])
 
 
 def reject(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose text scores below the threshold; one narrow pass."""
     at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(model.vocabulary)
+        held, known = shared.value, {}
+        counter = TermCounter(held.vocabulary)
         for batch in it:
-            yield batch.filter(pa.array([model.score(counter.count(t))[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([s < threshold for s, _ in held.score(batch.column(at).to_pylist(), counter, known)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -277,19 +422,13 @@ def reject(docs: DataFrame, model: ToxicityModel, text_col: str = "text", thresh
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, score, predicted and evidence, the ids of the nearest examples."""
     kind = dict(docs.dtypes)[id_col]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, known = TermCounter(model.vocabulary), {}
+        held, known = shared.value, {}
+        counter = TermCounter(held.vocabulary)
         for batch in it:
-            rows = []
-            for text in batch.column(2).to_pylist():
-                counts = counter.count(text)
-                key = tuple(sorted(counts.items()))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = model.score(counts)
-                rows.append(known[key])
+            rows = held.score(batch.column(2).to_pylist(), counter, known)
             cols = [pa.array([s for s, _ in rows], pa.float64()), pa.array([e for _, e in rows], pa.list_(batch.schema.field(0).type))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "held_out", "score", "evidence"])
 

@@ -1,6 +1,7 @@
 """Operators on texts against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -208,24 +209,96 @@ def test_mixed_documents(spark):
 # ---- 8 -------------------------------------------------------------------------------------------------------------------
 
 
+def unit(counts, idf):
+    import numpy as np
+
+    terms = np.array(sorted(counts), np.int64)
+    raw = np.array([(1 + math.log(counts[t])) * idf[t] for t in terms.tolist()])
+    return terms, raw / math.sqrt((raw * raw).sum()) if len(raw) else raw
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.dictionaries(st.integers(0, 9), st.integers(1, 4), min_size=1, max_size=4), min_size=1, max_size=200), st.dictionaries(st.integers(0, 9), st.integers(1, 4), max_size=5))
 def test_nearest_are_exact(vectors, query):
     idf = [1.0 + t / 7 for t in range(10)]
-    made = [toxicity.weighted(v, idf) for v in vectors]
+    made = [unit(v, idf) for v in vectors]
     index = toxicity.BlockMaxIndex.build(made, [0] * len(made), range(len(made)), 10)
-    q = toxicity.weighted(query, idf)
-    near = index.nearest(q, 5)
-    cosines = sorted((sum(w * dict(v).get(t, 0.0) for t, w in q) for v in made), reverse=True)
-    want = [c for c in cosines if c > 0][:5]
-    assert [round(c, 9) for c, _ in near] == [round(c, 9) for c in want]
+    terms, weights = unit(query, idf)
+    of = lambda v: sum(w * dict(zip(*map(list, v), strict=True)).get(t, 0.0) for t, w in zip(terms.tolist(), weights.tolist(), strict=True))
+    near = index.nearest(terms, weights, 5)
+    cosines = sorted(map(of, made), reverse=True)
+    assert [round(c, 9) for c, _ in near] == [round(c, 9) for c in cosines if c > 0][:5]
     for c, at in near:
-        assert abs(sum(w * dict(made[index.ids[at]]).get(t, 0.0) for t, w in q) - c) < 1e-9
+        assert abs(of(made[index.ids[at]]) - c) < 1e-9
+    assert [c for c, _ in index.nearest(terms, weights, 5, below=1 - 1e-9)] == [c for c, _ in index.nearest(terms, weights, 500) if c < 1 - 1e-9][:5]
+
+
+def toxic_terms(text):
+    out = Counter()
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        out.update([w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) >= n)])
+    return out
+
+
+@pytest.mark.parametrize("chars", [1 << 22, 50])
+def test_terms_are_counted_whole(monkeypatch, chars):
+    monkeypatch.setattr(toxicity, "COUNT_CHARS", chars)
+    texts = [None, "", "Lorem ipsum_dolor 12 lorem " * 30, "É" * 100, "\u2028IDIOT,idiots", " " * 200]
+    vocabulary = {t: k for k, t in enumerate(sorted({t for x in texts for t in toxic_terms(x)}))}
+    bounds, terms, n = toxicity.TermCounter(vocabulary).counts(texts)
+    for k, text in enumerate(texts):
+        got = dict(zip(terms[bounds[k] : bounds[k + 1]].tolist(), n[bounds[k] : bounds[k + 1]].tolist(), strict=True))
+        assert got == {vocabulary[t]: c for t, c in toxic_terms(text).items()}
+
+
+def test_scores_are_those_of_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("lmnop") for _ in range(rng.randint(2, 4)))
+    rows = [(k, " ".join([word() for _ in range(12)] + [rng.choice(["awful", "nasty", "vile"])] * (k % 3 == 0))) for k in range(300)] + [(300, None), (301, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = {k: int(k % 3 == 0) for k in range(0, 300, 2) if zlib.crc32(str(k).encode()) % 5}
+    model = toxicity.fit(df, spark.createDataFrame([(k, y) for k, y in labels.items()], "doc_id bigint, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    counts = {k: toxic_terms(t) for k, t in rows}
+    df_of = Counter(t for c in counts.values() for t in c)
+    # distinct texts with the term, by label
+    texts = {(dict(rows)[k], y): counts[k] for k, y in labels.items()}
+    n = Counter(y for _, y in texts)
+    seen = {y: Counter(t for (_, label), c in texts.items() if label == y for t in c) for y in (0, 1)}
+    total = n[0] + n[1]
+
+    def weight(t):
+        both = seen[0][t] + seen[1][t]
+        off = max(0, abs(seen[1][t] * n[0] - seen[0][t] * n[1]) - total / 2)
+        phi = off / math.sqrt(both * (total - both) * n[0] * n[1]) if 0 < both < total else 0.0
+        return (math.log((1 + len(rows)) / (1 + df_of[t])) + 1) * (0.01 + phi)
+
+    vocabulary = {t for k in labels for t in counts[k]}
+
+    def vector(k):
+        raw = {t: (1 + math.log(c)) * weight(t) for t, c in counts[k].items() if t in vocabulary}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        return {t: w / norm for t, w in raw.items()}
+
+    vectors = {k: vector(k) for k in counts}
+    for k, _ in rows:
+        cosines = {e: round(sum(w * vectors[e].get(t, 0.0) for t, w in vectors[k].items()), 9) for e in labels}
+        near = sorted((c for c in cosines.values() if c > 0), reverse=True)[:15]
+        assert [cosines[e] for e in got[k].evidence] == pytest.approx(near, abs=2e-9)
+        if not near:
+            assert got[k].score == model.without
+        elif len({c for c in cosines.values()} & {near[-1]}) and sum(c >= near[-1] for c in cosines.values()) == len(near):
+            votes = [1 / (1.05 - cosines[e]) for e in got[k].evidence]
+            raw = sum(w * labels[e] for w, e in zip(votes, got[k].evidence, strict=True)) / sum(votes)
+            assert any(got[k].score == pytest.approx(model.calibrated(raw + d)) for d in (0, 1e-7, -1e-7))
 
 
 def test_isotonic_rises():
     xs, ys = toxicity.isotonic([0.1, 0.2, 0.3, 0.4] * 30, [0, 1, 0, 1] * 30)
-    assert ys == sorted(ys) and xs == sorted(xs)
+    assert xs == [0.1, 0.2, 0.4] and ys == [0, 0.5, 1]
+    assert toxicity.isotonic([0.1, 0.1], [0, 1], [3.0, 1.0]) == ([0.1], [0.25])
 
 
 def test_toxicity(spark):

@@ -18,7 +18,7 @@ import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,33 +29,37 @@ from pyspark.sql import functions as F
 from ssaflow.llm.common import materialise, pack, unpack
 
 #: Labelled rows of each label that the fit samples, about: they tell what terms depend on the label, and calibrate.
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 5_000
 #: Sampled rows of each label that become examples, and the terms that all examples have together, at most: the bound of what is broadcast.
-EXAMPLES, EXAMPLE_TERMS = 1_000, 4_000_000
+EXAMPLES, EXAMPLE_TERMS = 400, 2_000_000
 #: What a term weighs, as a factor, without any dependence on the label.
 LEAST_FACTOR = 0.01
 #: Lengths of the word beginnings that are terms.
 BEGINNINGS = (4, 5, 6)
 #: Examples in a block of the index.
 BLOCK = 32
+#: Terms that this part of the examples have (one in so many) have full rows in the index, so many at most.
+FULL_SHARE, FULL_TERMS = 16, 1_024
+#: Blocks that are searched first.
+FIRST_BLOCKS = 3
 #: Examples that vote.
 NEIGHBOURS = 15
-#: Chunks of text whose terms a worker remembers, and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
 #: Characters whose terms are counted at a time.
 COUNT_CHARS = 1 << 22
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: What separates words.
+NO_LETTERS = r"[^\pL]+"
 _SPACE = re.compile(r"\s")
 
 
-def terms_of(chunk: str) -> list[str]:
-    """The terms of some lower-case text, repeats included."""
-    out = []
-    for word in _LETTERS.findall(chunk):
-        out.append(word)
-        out += [f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n]
-    return out
+def letters(texts: pa.Array) -> pa.Array:
+    """The words of each text: its runs of letters, lists."""
+    return pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(texts, NO_LETTERS, " ")))
+
+
+def terms_of(words: Sequence[str]) -> list[str]:
+    """The terms of distinct lower-case words."""
+    return list(dict.fromkeys([*words, *(f"{w[:n]}*" for n in BEGINNINGS for w in words if len(w) >= n)]))
 
 
 def pieces(texts: Sequence[str | None]) -> Iterator[tuple[list[int], list[str]]]:
@@ -92,42 +96,45 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first)
 
 
-class TermCounter(dict):
-    """Counts of a vocabulary's terms in texts; remembers the terms of short chunks between white space."""
+class TermCounter:
+    """Counts of a vocabulary's terms in texts."""
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
-        super().__init__()
         self.vocabulary = vocabulary
+        self.beginnings = {t[:-1]: k for t, k in vocabulary.items() if t.endswith("*")}
+
+    def _terms(self, words: pa.Array) -> np.ndarray:
+        """Of each word a row: its term and those of its beginnings, -1 for what isn't known."""
+
+        def known(names: pa.Array, of: dict[str, int]) -> np.ndarray:
+            return np.fromiter(map(of.get, names.to_numpy(zero_copy_only=False), repeat(-1)), np.int64, len(names))
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        get = self.vocabulary.get
-        found = tuple(k for k in map(get, terms_of(chunk)) if k is not None)
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[chunk] = found
-        return found
+        sizes, out = pc.utf8_length(words).to_numpy(zero_copy_only=False), [known(words, self.vocabulary)]
+        for n in BEGINNINGS:
+            begun = pc.utf8_slice_codeunits(words, 0, n).dictionary_encode()
+            out.append(np.where(sizes >= n, np.append(known(begun.dictionary, self.beginnings), -1)[begun.indices.to_numpy(zero_copy_only=False)], -1))
+        return np.stack(out, axis=1)
 
     def counts(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text the places in rising order of its terms: the texts' bounds, the terms, their counts."""
-        many, found = max(1, len(self.vocabulary)), []
+        found = []
         for places, held in pieces(texts):
             split = pc.utf8_split_whitespace(pa.array(held, pa.large_string()))
             chunks = split.flatten().dictionary_encode()
-            unique = [self[c] for c in chunks.dictionary.to_pylist()]
-            sizes = np.fromiter(map(len, unique), np.int64, len(unique))
-            flat = np.fromiter(chain.from_iterable(unique), np.int64, int(sizes.sum()))
             doc = np.repeat(np.array(places, np.int64), np.diff(split.offsets.to_numpy()))
-            # each text's distinct chunks, then their terms
-            key, n = summed(doc * max(1, len(unique)) + chunks.indices.to_numpy(zero_copy_only=False), np.ones(len(doc), np.int64))
-            doc, chunk = np.divmod(key, max(1, len(unique)))
-            size = sizes[chunk]
-            terms = flat[ranges((np.cumsum(sizes) - sizes)[chunk], size)]
-            found.append(summed(np.repeat(doc, size) * many + terms, np.repeat(n, size)))
+            # each text's distinct chunks, then their words' terms
+            key, n = summed(doc << 32 | chunks.indices.to_numpy(zero_copy_only=False), np.ones(len(doc), np.int64))
+            inside = letters(chunks.dictionary)
+            sizes, words = np.diff(inside.offsets.to_numpy()), inside.flatten().dictionary_encode()
+            chunk = key & 0xFFFFFFFF
+            word = words.indices.to_numpy(zero_copy_only=False)[ranges((np.cumsum(sizes) - sizes)[chunk], sizes[chunk])]
+            doc, n = np.repeat(key & ~0xFFFFFFFF, sizes[chunk]), np.repeat(n, sizes[chunk])
+            terms = self._terms(words.dictionary)[word]
+            known = terms >= 0
+            found.append(summed((doc[:, None] | terms)[known], np.repeat(n, known.sum(axis=1))))
         none = np.empty(0, np.int64)
         key, n = found[0] if len(found) == 1 else summed(np.concatenate([none, *(k for k, _ in found)]), np.concatenate([none, *(n for _, n in found)]))
-        doc, term = np.divmod(key, many)
-        return np.searchsorted(doc, np.arange(len(texts) + 1)), term, n
+        return np.searchsorted(key >> 32, np.arange(len(texts) + 1)), key & 0xFFFFFFFF, n
 
 
 @dataclass
@@ -136,13 +143,18 @@ class BlockMaxIndex:
 
     labels: np.ndarray
     ids: list
-    #: where each term's blocks start; of each (term, block) the block, the greatest weight and where its postings start; of each posting the example's place and weight
+    #: where each term's blocks start; of each (term, block) the block, the greatest weight, where its postings start and how many there are; of each posting the example's place and weight
     terms: np.ndarray = field(init=False)
     block: np.ndarray = field(init=False)
     top: np.ndarray = field(init=False)
     first: np.ndarray = field(init=False)
+    size: np.ndarray = field(init=False)
     place: np.ndarray = field(init=False)
     weight: np.ndarray = field(init=False)
+    #: the rows of frequent terms (-1: none), with a weight for each example and a greatest weight for each block
+    row: np.ndarray = field(init=False)
+    full: np.ndarray = field(init=False)
+    full_top: np.ndarray = field(init=False)
 
     @classmethod
     def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]], labels: Sequence[int], ids: Sequence, n_terms: int) -> BlockMaxIndex:
@@ -155,42 +167,60 @@ class BlockMaxIndex:
         term = np.concatenate([np.empty(0, np.int64), *(vectors[k][0] for k in order)]).astype(np.int64)
         weight = np.concatenate([np.empty(0), *(vectors[k][1] for k in order)])
         place = np.repeat(np.arange(len(order)), sizes)
+        many = -(-len(order) // BLOCK)
+        often = np.bincount(term, minlength=n_terms)
+        frequent = np.lexsort((np.arange(n_terms), -often))[:FULL_TERMS]
+        frequent = frequent[often[frequent] * FULL_SHARE >= max(1, len(order))]
+        self.row = np.full(n_terms, -1, np.int64)
+        self.row[frequent] = np.arange(len(frequent))
+        self.full, full = np.zeros((len(frequent), many * BLOCK)), self.row[term] >= 0
+        self.full[self.row[term[full]], place[full]] = weight[full]
+        self.full_top = self.full.reshape(len(frequent), many, BLOCK).max(axis=2)
+        term, place, weight = term[~full], place[~full], weight[~full]
         by = np.lexsort((place, term))
         term, self.place, self.weight = term[by], place[by].astype(np.int32), weight[by]
-        key = term * (len(order) // BLOCK + 1) + self.place // BLOCK
+        key = term * (many + 1) + self.place // BLOCK
         heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
         self.top = np.maximum.reduceat(self.weight, heads) if len(heads) else np.empty(0)
-        self.block, self.first = self.place[heads] // BLOCK, np.append(heads, len(key))
+        self.block, self.first, self.size = self.place[heads] // BLOCK, heads, np.diff(np.append(heads, len(key)))
         self.terms = np.searchsorted(term[heads], np.arange(n_terms + 1))
         return self
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, below: float = math.inf) -> list[tuple[float, int]]:
         """The k examples of greatest cosine above 0 (and below a bound) as (cosine, place); equal ones by place."""
         many, found = -(-len(self.ids) // BLOCK), (np.empty(0), np.empty(0, np.int64))
+        row = self.row[terms]
+        full, rows = weights[row >= 0], row[row >= 0]
+        terms, weights = terms[row < 0], weights[row < 0]
         sizes = self.terms[terms + 1] - self.terms[terms]
         entries, each = ranges(self.terms[terms], sizes), np.repeat(weights, sizes)
         blocks = self.block[entries]
-        bounds = np.bincount(blocks, weights=each * self.top[entries], minlength=many)
+        bounds = np.bincount(blocks, weights=each * self.top[entries], minlength=many) + full @ self.full_top[rows]
         order = np.argsort(-bounds, kind="stable")
-        at, wave = 0, 2
-        while at < many:
+        # some of the best blocks give a least cosine, then all that can hold more are searched
+        for take in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
             least = found[0][k - 1] if len(found[0]) == k else 0.0
-            # a bound is rounded as a cosine is
-            take = [b for b in order[at : at + wave] if bounds[b] > 0 and bounds[b] >= least - 1e-9]
-            if not take:
+            take = take[(bounds[take] > 0) & (bounds[take] >= least - 1e-9)]
+            if not len(take):
                 break
             here = np.zeros(many, bool)
             here[take] = True
-            mine = here[blocks]
-            start = self.first[entries[mine]]
-            n = self.first[entries[mine] + 1] - start
-            posts = ranges(start, n)
-            cosines = np.round(np.bincount(self.place[posts], weights=np.repeat(each[mine], n) * self.weight[posts], minlength=len(self.ids)), 12)
+            mine = np.flatnonzero(here[blocks])
+            at = entries[mine]
+            n = self.size[at]
+            posts = ranges(self.first[at], n)
+            cosines = np.bincount(self.place[posts], weights=np.repeat(each[mine], n) * self.weight[posts], minlength=many * BLOCK).astype(np.float64)
+            if 2 * len(take) >= many:
+                cosines += full @ self.full[rows]
+            else:
+                for b in take.tolist():
+                    cosines[b * BLOCK : (b + 1) * BLOCK] += full @ self.full[rows, b * BLOCK : (b + 1) * BLOCK]
+            cosines = np.round(cosines, 12)
+            cosines.reshape(many, BLOCK)[~here] = 0
             new = np.flatnonzero((cosines > 0) & (cosines >= least) & (cosines < below))
             cosine, place = np.concatenate([found[0], cosines[new]]), np.concatenate([found[1], new])
             best = np.lexsort((place, -cosine))[:k]
             found = cosine[best], place[best]
-            at, wave = at + wave, 2 * wave
         return list(zip(found[0].tolist(), found[1].tolist(), strict=True))
 
 
@@ -263,7 +293,7 @@ def held_out(column: str):
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame | None, float]:
-    """doc_id, text, y and an order of about `rows` labelled documents of each label; the share of label 1."""
+    """doc_id, text, y and an order of the distinct texts of about `rows` labelled documents of each label; the share of label 1."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     n = {r.y: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -274,7 +304,8 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame |
     keep = F.when(F.col("y") == 1, at < int((1 << 30) * min(1.0, rows / n[1]))).otherwise(at < int((1 << 30) * min(1.0, rows / n[0])))
     # at most about twice `rows` ids are broadcast
     ids = known.where(keep).select("doc_id", "y", F.xxhash64(F.lit(12), F.col("doc_id")).alias("rank"))
-    return materialise(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y", "rank"), "toxicity-sample"), share
+    found = docs.join(F.broadcast(ids), "doc_id").groupBy("text", "y").agg(F.min("rank").alias("rank"), F.min("doc_id").alias("doc_id"))
+    return materialise(found.select("doc_id", "text", "y", "rank"), "toxicity-sample"), share
 
 
 def _examples(sample: DataFrame) -> list[tuple]:
@@ -282,9 +313,10 @@ def _examples(sample: DataFrame) -> list[tuple]:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            vocabulary = dict.fromkeys(t for text in batch.column(3).to_pylist() for t in terms_of((text or "").lower()))
-            names = np.array(list(vocabulary), object)
-            bounds, terms, n = TermCounter({t: k for k, t in enumerate(names)}).counts(batch.column(3).to_pylist())
+            texts = batch.column(3).to_pylist()
+            words = pa.chunked_array([letters(pa.array(held, pa.large_string())).flatten() for _, held in pieces(texts)] or [pa.array([], pa.large_string())]).unique()
+            names = np.array(terms_of([w for w in words.to_pylist() if w]), object)
+            bounds, terms, n = TermCounter({t: k for k, t in enumerate(names)}).counts(texts)
             offsets = pa.array(bounds, pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(names[terms] if len(names) else [], pa.string())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(bounds), pa.int64()), *lists], ["doc_id", "y", "rank", "size", "terms", "n"])
@@ -292,7 +324,8 @@ def _examples(sample: DataFrame) -> list[tuple]:
     kind = dict(sample.dtypes)["doc_id"]
     ranked = []
     for y in (0, 1):
-        first = sample.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy("rank", "doc_id").limit(EXAMPLES)
+        last = sample.where(F.col("y") == y).select("rank").orderBy("rank").limit(EXAMPLES).agg(F.max("rank")).first()[0]
+        first = sample.where((F.col("y") == y) & (F.col("rank") <= (last if last is not None else 0)))
         counted = materialise(first.select("doc_id", "y", "rank", "text").mapInArrow(run, f"doc_id {kind}, y int, rank bigint, size bigint, terms array<string>, n array<bigint>"), "toxicity-examples")
         sizes = sorted((r["rank"], r.doc_id, r["size"]) for r in counted.select("rank", "doc_id", "size").collect())
         total, last = 0, None
@@ -362,8 +395,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     vocabulary = {t: k for k, t in enumerate(sorted(names))}
     shared = spark.sparkContext.broadcast(vocabulary)
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # copies count once
-    told = document_frequencies(sample.select(F.col("y").alias("g"), "text").distinct(), shared, slices)
+    told = document_frequencies(sample.select(F.col("y").alias("g"), "text"), shared, slices)
     corpus = document_frequencies(docs.select(F.lit(0).alias("g"), "text"), shared, slices)[0]
     both = told[0] + told[1]
     depends = dependence(both[:-1].astype(float), float(both[-1]), told[1][:-1].astype(float), float(told[1][-1]))
@@ -393,7 +425,7 @@ def _calibrate(model: ToxicityModel, sample: DataFrame, share: float) -> None:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.float64())], ["y", "raw"])
 
     # bounded by the sample
-    voted = sample.select("y", "text").distinct().mapInArrow(run, "y int, raw double").collect()
+    voted = sample.select("y", "text").mapInArrow(run, "y int, raw double").collect()
     n1 = sum(r.y for r in voted)
     # the sample has the labels in other shares than the corpus: each row weighs by its label's share
     weight = {1: share / max(1, n1), 0: (1 - share) / max(1, len(voted) - n1)}

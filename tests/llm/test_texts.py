@@ -243,7 +243,7 @@ def toxic_terms(text):
 @pytest.mark.parametrize("chars", [1 << 22, 50])
 def test_terms_are_counted_whole(monkeypatch, chars):
     monkeypatch.setattr(toxicity, "COUNT_CHARS", chars)
-    texts = [None, "", "Lorem ipsum_dolor 12 lorem " * 30, "É" * 100, "\u2028IDIOT,idiots", " " * 200]
+    texts = [None, "", "Lorem ipsum_dolor 12 lorem " * 30, "É" * 100, "\u2028IDIOT,idiots", " " * 200, "... 12 _ !"]
     vocabulary = {t: k for k, t in enumerate(sorted({t for x in texts for t in toxic_terms(x)}))}
     bounds, terms, n = toxicity.TermCounter(vocabulary).counts(texts)
     for k, text in enumerate(texts):

@@ -1,7 +1,7 @@
 """Connected components of links between 64-bit nodes, by alternating large-star and small-star rounds.
 
 Every round is a pair of partial aggregations and equi-joins over the links, written to the shared folder: nothing is
-collected but a count and a checksum, no node's neighbours meet in one task, and a lost executor costs one round.
+collected but a count and a checksum, a hub's neighbours are dealt over many tasks, and a lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -12,18 +12,28 @@ from pyspark.sql import functions as F
 from ssaflow.llm.common import materialise
 
 
+#: Parts into which the neighbours of a node are dealt at most.
+SALTS = 64
+
+
+def _with_least(edges: DataFrame, key: str, other: str) -> DataFrame:
+    """edges with m, the least other of each key. A hub's edges are dealt over many tasks: its least comes to each part
+    of its neighbours, and no node gives more rows for that than it has neighbours."""
+    edges = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
+    parts = edges.groupBy(key, "salt").agg(F.min(other).alias("m"))
+    least = parts.groupBy(key).agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts")).select(key, "m", F.explode("salts").alias("salt"))
+    return edges.join(least, [key, "salt"]).drop("salt")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(links.select("b", "a"))
-    least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-    return both.where("y > x").join(least, "x").select(F.col("y").alias("a"), F.col("m").alias("b"))
+    return _with_least(both, "x", "y").where("y > x").select(F.col("y").alias("a"), F.least("x", "m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    joined = links.join(least, "a")
-    return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
+    return _with_least(links, "a", "b").select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
 
 
 def _state(links: DataFrame) -> tuple:

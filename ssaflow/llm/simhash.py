@@ -131,18 +131,8 @@ ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
 #: Sets of shingles that a worker remembers.
 KNOWN_SETS = 256
 
-#: Words of 64 bits in a sketch; each holds two fingerprints of 32 bits.
-SKETCH_WORDS = 4
-#: What a fingerprint of 32 bits is combined with to give all values within one bit.
-_BALL = np.array([0, *(1 << b for b in range(32))], np.uint64)
-
-
-def ball_keys(words: np.ndarray) -> np.ndarray:
-    """For each sketch (a row of words) the values within one bit of each of its short fingerprints, by fingerprint; the
-    place in a ball tells which bit was changed."""
-    short = np.stack([(words[:, k // 2] >> np.uint64(32 * (k % 2))) & np.uint64(0xFFFFFFFF) for k in range(2 * SKETCH_WORDS)], axis=1)
-    tables = np.arange(2 * SKETCH_WORDS, dtype=np.uint64) << np.uint64(32)
-    return ((short[:, :, None] ^ _BALL[None, None, :]) | tables[None, :, None]).reshape(len(words), -1)
+#: Pairs of a node that are compared in the first round, and how many times more in each next one.
+ROUND_PAIRS, ROUND_GROWTH = 4, 4
 
 
 def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -241,6 +231,24 @@ def unconnected(met: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
     return counted.where(f"shared + {rest} >= {similarity!r}D / (1 + {similarity!r}D) * (n + m) - 1e-9D").select("a", "b").distinct()
 
 
+def in_rounds(todo: DataFrame, linked: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """linked and the links among the pairs a, b of todo: some pairs of each node are compared, what these connect needs
+    no more, and so on, until each pair has been decided or connected."""
+    many = ROUND_PAIRS
+    while not todo.isEmpty():
+        ranked = todo.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")))
+        ranked = materialise(ranked, "similar-ranked")
+        linked = materialise(linked.unionByName(alike(ranked.where(F.col("rank") <= many).select("a", "b"), docs, similarity, width)), "similar-links")
+        left = ranked.where(F.col("rank") > many).select("a", "b")
+        if left.isEmpty():
+            break
+        of = components(linked, "similar-linked")
+        left = left.join(of.withColumnRenamed("node", "a").withColumnRenamed("component", "near"), "a", "left").join(of.withColumnRenamed("node", "b").withColumnRenamed("component", "far"), "b", "left")
+        todo = materialise(left.where(F.coalesce("near", "a") != F.coalesce("far", "b")).select("a", "b"), "similar-rest")
+        many *= ROUND_GROWTH
+    return linked
+
+
 def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links a, b between ids of documents: copies with their class's least id, and classes whose texts' sets of shingles
     have at least the Jaccard similarity.
@@ -252,9 +260,11 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_c
     rows = materialise(shingle_rows(docs, similarity, width), "shingles")
     # equal sets of shingles have equal prefixes
     heads = rows.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"))
-    classes = rows.join(heads, ["d0", "d1"])
+    classes = materialise(rows.select("doc_id", "d0", "d1").join(heads, ["d0", "d1"]).select("doc_id", "node").distinct(), "shingle-classes")
     copies = classes.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
-    posted = classes.where("doc_id = node").select("node", "n", F.posexplode("first").alias("i", "key"))
+    # one text of each class goes on
+    chosen = rows.join(heads.select("d0", "d1", F.col("node").alias("doc_id")), ["doc_id", "d0", "d1"], "left_semi").dropDuplicates(["doc_id", "d0", "d1"])
+    posted = chosen.select(F.col("doc_id").alias("node"), "n", F.posexplode("first").alias("i", "key"))
     order = Window.partitionBy("key").orderBy("n", "node")
     this = F.struct("node", "n", "i")
     met = posted.select("key", "node", "n", "i", F.lag(this).over(order).alias("before"), F.first(this).over(order).alias("least"), F.lead("node").over(order).alias("after"))
@@ -267,7 +277,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_c
     linked = materialise(alike(pairs, docs, similarity, width), "similar-links")
     of = components(linked, "similar-linked")
     rest = materialise(unconnected(met.select("key", "node", "n", "i").distinct(), of, similarity).join(pairs, ["a", "b"], "left_anti"), "similar-rest")
-    return linked.unionByName(alike(rest, docs, similarity, width)).unionByName(copies)
+    return in_rounds(rest, linked, docs, similarity, width).unionByName(copies)
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

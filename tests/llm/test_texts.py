@@ -541,20 +541,6 @@ def test_simhash_nulls_and_repeats(spark):
     assert kept.count(2) <= 1 and None in kept
 
 
-def test_short_fingerprints_meet_within_two_bits():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    a = rng.integers(0, 1 << 63, size=(1, simhash.SKETCH_WORDS), dtype=np.uint64)
-    b = rng.integers(0, 1 << 63, size=(1, simhash.SKETCH_WORDS), dtype=np.uint64)
-    b[0, 2] = a[0, 2] ^ np.uint64((1 << 35) | (1 << 60))
-    met = set(simhash.ball_keys(a)[0].tolist()) & set(simhash.ball_keys(b)[0].tolist())
-    assert {k >> 32 for k in met} >= {5}
-    far = b.copy()
-    far[0, 2] ^= np.uint64(1 << 50)
-    assert all(k >> 32 != 5 for k in set(simhash.ball_keys(a)[0].tolist()) & set(simhash.ball_keys(far)[0].tolist()))
-
-
 def test_similar_texts(spark):
     import random
 
@@ -578,7 +564,7 @@ def test_similar_texts(spark):
     got = [r.doc_id for r in kept.collect()]
     assert {d for d in got if d is not None and d % 10 == 2 and d < 1000} == {10 * k + 2 for k in range(40)}
     assert {d for d in got if d is not None and d % 10 == 0 and d < 1000} == {10 * k for k in range(40)}
-    assert sum(d is not None and d % 10 == 1 and d < 1000 for d in got) <= 2
+    assert not any(d is not None and d % 10 == 1 and d < 1000 for d in got)
     assert 1000 not in got and got.count(None) == 2 and (1001 in got) != (1002 in got)
     assert simhash.keep_one(empty(spark), similarity=0.8).count() == 0
 
@@ -645,6 +631,7 @@ def test_all_that_share_shingles_are_compared(spark, monkeypatch):
 
     # no shingle is known as frequent: those of the templates are in the prefixes of many that aren't similar
     monkeypatch.setattr(simhash, "ORDER_DOCS", 0)
+    monkeypatch.setattr(simhash, "ROUND_PAIRS", 1)
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     templates = [[word() for _ in range(24)] for _ in range(4)]
@@ -658,6 +645,14 @@ def test_all_that_share_shingles_are_compared(spark, monkeypatch):
     assert linked_groups(spark, texts) == similar_groups(texts)
 
 
+def test_hubs_and_chains(spark):
+    from ssaflow.llm.components import components
+
+    links = [(0, k) for k in range(1, 300)] + [(k, k + 1) for k in range(1000, 1040)] + [(5000 + k, 900) for k in range(50)] + [(7, 7), (12, 3)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint").repartition(3)).collect()}
+    assert got == {k: 0 for k in range(300)} | {k: 1000 for k in range(1000, 1041)} | {5000 + k: 900 for k in range(50)} | {900: 900}
+
+
 def test_rare_toxic_words_are_learnt(spark):
     import random
 

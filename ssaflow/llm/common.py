@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ssaflow.checkpoints import materialise as materialise
 from ssaflow.checkpoints import shared_root
@@ -21,8 +22,8 @@ WORD_RE = "[^\\x20\\x09-\\x0D]+"
 #: Rows in an Arrow batch handed to Python; texts may be long.
 BATCH_ROWS = 512
 
-#: Data that one bucket of a regrouping should hold at most, on average.
-BUCKET_BYTES = 64 << 20
+#: Bytes of text that one bucket of a regrouping should hold at most, on average.
+BUCKET_BYTES = 128 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -67,16 +68,12 @@ def read_file(uri: str, name: str) -> bytes:
         return f.read()
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of the size of df, from its files."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 60)
-
-
-def bucket_count(df: DataFrame, blowup: float = 1.0) -> int:
-    """Buckets for a regrouping of what comes from df: they follow the data, and spread evenly over the shuffle's partitions."""
+def bucket_count(df: DataFrame, text_col: str = "text") -> int:
+    """Buckets for a regrouping of what comes from the texts of df: they follow the bytes counted, and spread evenly over
+    the shuffle's partitions."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(max(4 * partitions, input_bytes(df) * blowup // BUCKET_BYTES + 1))
+    size = df.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0
+    return int(max(4 * partitions, size // BUCKET_BYTES + 1))
 
 
 def pack(*arrays: np.ndarray) -> bytes:

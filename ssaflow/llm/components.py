@@ -16,24 +16,25 @@ from ssaflow.llm.common import materialise
 SALTS = 64
 
 
-def _with_least(edges: DataFrame, key: str, other: str) -> DataFrame:
-    """edges with m, the least other of each key. A hub's edges are dealt over many tasks: its least comes to each part
-    of its neighbours, and no node gives more rows for that than it has neighbours."""
-    edges = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
-    parts = edges.groupBy(key, "salt").agg(F.min(other).alias("m"))
-    least = parts.groupBy(key).agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts")).select(key, "m", F.explode("salts").alias("salt"))
-    return edges.join(least, [key, "salt"]).drop("salt")
+def with_least(rows: DataFrame, keys: list[str], other: str) -> DataFrame:
+    """rows with m, the least other of each key. A hub's rows are dealt over many tasks: its least comes to each part
+    of its neighbours, and no key gives more rows for that than it has neighbours."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
+    parts = rows.groupBy(*keys, "salt").agg(F.min(other).alias("m"))
+    least = parts.groupBy(*keys).agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts")).select(*keys, "m", F.explode("salts").alias("salt"))
+    return rows.join(least, [*keys, "salt"]).drop("salt")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(links.select("b", "a"))
-    return _with_least(both, "x", "y").where("y > x").select(F.col("y").alias("a"), F.least("x", "m").alias("b"))
+    return with_least(both, ["x"], "y").where("y > x").select(F.col("y").alias("a"), F.least("x", "m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them."""
-    return _with_least(links, "a", "b").select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
+    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    return links.join(least, "a").select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
 
 
 def _state(links: DataFrame) -> tuple:

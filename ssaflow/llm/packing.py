@@ -11,7 +11,9 @@ any length is handled whole; repeated rows are packed as often as they occur; an
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from ssaflow.llm.common import materialise
 from ssaflow.llm.tokens import byte_alphabet
 
-#: Chunks, and pieces, whose ids a worker remembers.
-CACHE_ENTRIES = 300_000
+#: Chunks, and pieces, whose ids a worker remembers, and the characters of the longest of them.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
 #: Partitions whose leftovers are merged together.
 MERGE_PARTITIONS = 8
 
@@ -37,6 +39,26 @@ MERGE_PARTITIONS = 8
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def _remember(cache: dict, key: str, ids: bytes) -> bytes:
+    if len(key) <= CACHE_CHARS:
+        if len(cache) >= CACHE_ENTRIES:
+            cache.clear()
+        cache[key] = ids
+    return ids
+
+
+def _special_strings(path: str) -> re.Pattern:
+    """What finds the file's added tokens in a text; a file of another kind is refused."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    parts = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    split = cuts[0].get("type") == "Split" and cuts[0]["pattern"] == {"Regex": PIECES} and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+    if spec["model"]["type"] != "BPE" or parts != ["NFC", "Replace", "Lowercase"] or not split or cuts[1:2] != [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]:
+        raise ValueError("a byte-level BPE vocabulary of lower-cased pieces is needed")
+    return re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+
+
 class _PieceIds(dict):
     """The ids of single pieces that are normalised already, from the library's model alone."""
 
@@ -46,11 +68,8 @@ class _PieceIds(dict):
         self.byte_chars = {b: ch for ch, b in byte_alphabet().items()}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
         symbols = piece if piece.isascii() and piece.isprintable() else "".join([self.byte_chars[b] for b in piece.encode()])
-        ids = self[piece] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
-        return ids
+        return _remember(self, piece, array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes())
 
 
 class ChunkIds(dict):
@@ -64,6 +83,7 @@ class ChunkIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.special = _special_strings(path)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -74,8 +94,6 @@ class ChunkIds(dict):
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
         plain = chunk.lower() if chunk.isascii() else self.normal(chunk)
         if plain.isalpha():
             ids = self.pieces[plain]
@@ -83,12 +101,11 @@ class ChunkIds(dict):
             ids = self.pieces[plain[:-1]] + self.pieces[plain[-1]]
         else:
             ids = b"".join(map(self.pieces.__getitem__, self.cut.findall(plain)))
-        self[chunk] = ids
-        return ids
+        return _remember(self, chunk, ids)
 
     def of_text(self, text: str) -> bytes:
         # special strings may hold any characters, and Python's split knows four more separators
-        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if self.special.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.encode(text)
         return b"".join(map(self.__getitem__, text.split()))
 

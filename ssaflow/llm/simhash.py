@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ssaflow.llm.common import materialise, word_blocks
-from ssaflow.llm.components import components
+from ssaflow.llm.components import components, with_least
 
 #: The seed of the shingles' hash.
 SEED = 42
@@ -131,8 +131,10 @@ ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
 #: Sets of shingles that a worker remembers.
 KNOWN_SETS = 256
 
-#: Pairs of a node that are compared in the first round, and how many times more in each next one.
-ROUND_PAIRS, ROUND_GROWTH = 4, 4
+#: Rounds in which what shares a shingle is paired with one other by chance, before all that is still apart is paired.
+CHANCE_ROUNDS = 3
+#: Pairs of a node that are compared in the first round of all that are left, and how many times more in each next one.
+ROUND_PAIRS, ROUND_GROWTH = 32, 32
 
 
 def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,12 +219,24 @@ def alike(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -> D
     return pairs.join(left, "a").join(right, "b").select("a", "b", "at", "bt").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def unconnected(met: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a, b of nodes that share shingles, can be as similar by these, and aren't in one component. met: key, node,
-    n, i; of: node, component."""
+def apart(met: DataFrame, of: DataFrame) -> DataFrame:
+    """What shares a shingle with nodes of other components. met: key, node, n, i; of: node, component."""
     named = met.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    named = materialise(named.join(mixed, "key", "left_semi"), "shared-apart")
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return materialise(named.join(mixed, "key", "left_semi"), "shared-apart")
+
+
+def by_chance(named: DataFrame, similarity: float, seed: int) -> DataFrame:
+    """Pairs a, b of nodes apart that follow each other among those of a shingle, in an order of its own: linear in the
+    rows, and what many shingles share meets many others."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "key", "node"), "node")
+    pairs = named.select("node", "n", "i", "component", F.lag(F.struct("node", "n", "i", "component")).over(order).alias("other"))
+    pairs = pairs.where("component <> other.component").select(F.col("node").alias("a"), F.col("other.node").alias("b"), "n", "i", F.col("other.n").alias("m"), F.col("other.i").alias("j"))
+    return pairs.where(can_be(similarity)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def unconnected(named: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of nodes apart that share shingles and can be as similar by these."""
     other = named.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("far"))
     pairs = named.withColumnRenamed("node", "a").join(other, "key").where("a > b and component <> far").where(can_be(similarity))
     # what is common beyond the prefix that ends first is in the rest of that set
@@ -232,7 +246,7 @@ def unconnected(met: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
 
 
 def in_rounds(todo: DataFrame, linked: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """linked and the links among the pairs a, b of todo: some pairs of each node are compared, what these connect needs
+    """Links that connect what linked and the links among the pairs a, b of todo do: some pairs of each node are compared, what these connect needs
     no more, and so on, until each pair has been decided or connected."""
     many = ROUND_PAIRS
     while not todo.isEmpty():
@@ -243,27 +257,30 @@ def in_rounds(todo: DataFrame, linked: DataFrame, docs: DataFrame, similarity: f
         if left.isEmpty():
             break
         of = components(linked, "similar-linked")
+        linked = of.select(F.col("node").alias("a"), F.col("component").alias("b"))
         left = left.join(of.withColumnRenamed("node", "a").withColumnRenamed("component", "near"), "a", "left").join(of.withColumnRenamed("node", "b").withColumnRenamed("component", "far"), "b", "left")
         todo = materialise(left.where(F.coalesce("near", "a") != F.coalesce("far", "b")).select("a", "b"), "similar-rest")
         many *= ROUND_GROWTH
     return linked
 
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links a, b between ids of documents: copies with their class's least id, and classes whose texts' sets of shingles
-    have at least the Jaccard similarity.
+def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", linked: DataFrame | None = None) -> DataFrame:
+    """Links a, b between ids of documents that connect copies, and classes whose texts' sets of shingles have at least the
+    Jaccard similarity. What is linked already is given along and needn't be compared.
 
-    Sets as similar share a shingle of their prefixes. What shares one is first paired with the least and the one before;
-    then all that share one and aren't connected yet are paired, so that each pair is decided or connected already.
+    Sets as similar share a shingle of their prefixes. What shares one is first paired with the least and the one before,
+    then with others by chance; last all that share one and aren't connected yet are paired, so that each pair is decided
+    or connected.
     """
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialise(shingle_rows(docs, similarity, width), "shingles")
     # equal sets of shingles have equal prefixes
-    heads = rows.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"))
-    classes = materialise(rows.select("doc_id", "d0", "d1").join(heads, ["d0", "d1"]).select("doc_id", "node").distinct(), "shingle-classes")
-    copies = classes.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+    classes = with_least(rows.select("doc_id", "d0", "d1"), ["d0", "d1"], "doc_id")
+    classes = materialise(classes.select("doc_id", "d0", "d1", F.col("m").alias("node")).distinct(), "shingle-classes")
+    copies = classes.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    linked = copies if linked is None else copies.unionByName(linked)
     # one text of each class goes on
-    chosen = rows.join(heads.select("d0", "d1", F.col("node").alias("doc_id")), ["doc_id", "d0", "d1"], "left_semi").dropDuplicates(["doc_id", "d0", "d1"])
+    chosen = rows.join(classes.where("doc_id = node").select("doc_id", "d0", "d1"), ["doc_id", "d0", "d1"], "left_semi").dropDuplicates(["doc_id", "d0", "d1"])
     posted = chosen.select(F.col("doc_id").alias("node"), "n", F.posexplode("first").alias("i", "key"))
     order = Window.partitionBy("key").orderBy("n", "node")
     this = F.struct("node", "n", "i")
@@ -273,11 +290,34 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_c
     other = F.explode(F.array("before", "least")).alias("other")
     near = met.where("before is not null").select("node", "n", "i", other).select(F.col("node").alias("a"), F.col("other.node").alias("b"), "n", "i", F.col("other.n").alias("m"), F.col("other.i").alias("j"))
     pairs = near.where(F.col("a") != F.col("b")).where(can_be(similarity)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = materialise(pairs, "similar-pairs")
-    linked = materialise(alike(pairs, docs, similarity, width), "similar-links")
+    tried = materialise(pairs, "similar-pairs")
+    linked = materialise(linked.unionByName(alike(tried, docs, similarity, width)), "similar-links")
+    met = met.select("key", "node", "n", "i")
+    for seed in range(CHANCE_ROUNDS):
+        # what is linked goes on as a star around each component's least
+        of = components(linked, "similar-linked")
+        linked = of.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        met = apart(met, of).select("key", "node", "n", "i", "component")
+        pairs = materialise(by_chance(met, similarity, seed).join(tried, ["a", "b"], "left_anti"), "similar-pairs")
+        if pairs.isEmpty():
+            break
+        linked = materialise(linked.unionByName(alike(pairs, docs, similarity, width)), "similar-links")
+        tried, met = tried.unionByName(pairs), met.drop("component")
     of = components(linked, "similar-linked")
-    rest = materialise(unconnected(met.select("key", "node", "n", "i").distinct(), of, similarity).join(pairs, ["a", "b"], "left_anti"), "similar-rest")
-    return in_rounds(rest, linked, docs, similarity, width).unionByName(copies)
+    linked = of.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    met = apart(met.select("key", "node", "n", "i"), of)
+    rest = materialise(unconnected(met, similarity).join(tried, ["a", "b"], "left_anti"), "similar-rest")
+    return in_rounds(rest, linked, docs, similarity, width)
+
+
+def fingerprint_links(docs: DataFrame, width: int, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """Links a, b between ids of documents that connect the groups of near_duplicates."""
+    prints = fingerprints(docs.where(F.col(id_col).isNotNull()), width, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "fp")
+    named = materialise(with_least(prints, ["fp"], "doc_id").select("doc_id", "fp", "m").distinct(), "simhash")
+    least = named.where("doc_id = m").select("fp", "m")
+    spread = least.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    near = links(spread, radius).join(least.select(F.col("fp").alias("a"), F.col("m").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("m").alias("y")), "b")
+    return materialise(named.where("doc_id <> m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")).unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))), "simhash-links")
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,13 +326,13 @@ def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, similarity: float
     Groups are those of near_duplicates; a similarity adds links between texts whose sets of five-word shingles are as
     similar. Rows without an id can't be named and stay; of rows that repeat an id one stays.
     """
-    groups = near_duplicates(docs, width, radius, id_col, text_col).select(F.col(id_col).alias("doc"), "component_id")
     if similarity is None:
+        groups = near_duplicates(docs, width, radius, id_col, text_col).select(F.col(id_col).alias("doc"), "component_id")
         heads = groups.where("doc = component_id").select(F.col("doc").alias("_head")).distinct()
         named = docs.join(heads, docs[id_col] == heads["_head"], "left_semi")
     else:
-        groups = groups.where("doc <> component_id").select(F.col("doc").cast("bigint").alias("a"), F.col("component_id").cast("bigint").alias("b"))
-        merged = components(groups.unionByName(similar_links(docs, similarity, 5, id_col, text_col)), "near-duplicates")
+        linked = fingerprint_links(docs, width, radius, id_col, text_col)
+        merged = components(similar_links(docs, similarity, 5, id_col, text_col, linked), "near-duplicates")
         gone = merged.where("node <> component").select(F.col("node").alias("_gone"))
         named = docs.where(F.col(id_col).isNotNull()).join(gone, docs[id_col] == gone["_gone"], "left_anti")
     return named.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

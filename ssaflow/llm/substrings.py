@@ -292,7 +292,8 @@ def repeated_ranges(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """docs: id, mark, text and maybe more. A row for each text with words to remove: id, mark, places (ranges' begins and ends)."""
     buckets = buckets or bucket_count(docs)
     anchors = _grouped(docs.select("id", "mark", "text").mapInArrow(_numbered(_texts, _anchor_records, buckets), SENT), _met_elsewhere, lambda at: pack(at.astype(np.int32)))
-    candidates = docs.join(anchors, ["id", "mark"])
+    # a task that runs again must number its batches alike
+    candidates = docs.join(anchors, ["id", "mark"]).sortWithinPartitions("id", "mark")
     return _grouped(candidates.mapInArrow(_numbered(_texts_with_anchors, _window_records, buckets), SENT), _smaller_elsewhere, covered)
 
 

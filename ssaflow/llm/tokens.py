@@ -20,8 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces whose counts a worker remembers.
-CACHE_ENTRIES = 300_000
+#: Pieces whose counts a worker remembers, and the characters of the longest of them.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
 #: Texts above this many characters are cut piece by piece instead of all at once.
 LONG_TEXT = 1 << 20
 
@@ -100,9 +100,11 @@ class _Counts(dict):
         self.make = make
 
     def __missing__(self, key: str) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        n = self[key] = self.make(key)
+        n = self.make(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[key] = n
         return n
 
 

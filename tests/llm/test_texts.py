@@ -12,6 +12,7 @@ import regex
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ssaflow.llm import media, mixing, packing, pii, simhash, substrings, tokens, toxicity
@@ -62,6 +63,18 @@ def test_substrings(spark, monkeypatch, batch_words):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
 
+def test_buckets_follow_the_texts_counted(spark):
+    from ssaflow.llm.common import bucket_count
+
+    rows, df = documents(spark)
+    joined = df.join(df.select("doc_id").withColumnRenamed("doc_id", "other"), F.col("doc_id") == F.col("other")).drop("other")
+    made = spark.createDataFrame(joined.rdd, df.schema)
+    assert bucket_count(df) == bucket_count(joined) == bucket_count(made) == 16
+    plain = [r for r in rows if r[0] is not None and r[0] != 2]
+    same = joined.where("doc_id <> 2").dropDuplicates(["doc_id"])
+    assert Counter(tuple(r) for r in substrings.remove_repeats(same).collect()) == removed(plain)
+
+
 # ---- 3 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -98,6 +111,11 @@ def test_packing(spark):
     assert packing.pack_documents(empty(spark), WORD_BPE, 1).count() == 0
 
 
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        packing.chunk_ids(BYTE_BPE)
+
+
 @settings(max_examples=300, deadline=None)
 @given(ODD)
 def test_chunk_ids_are_the_library_s(text):

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The metadata tables, as DDL.
+#: The names of the metadata tables, their columns and keys, as DDL.
 TABLES = {
     "tasks": "id string, version string, manifest_json string, checksum string, created_at timestamp",
     "task_artifacts": "id string, task_id string, task_version string, uri string, size_bytes bigint, created_at timestamp",

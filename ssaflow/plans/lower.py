@@ -11,6 +11,9 @@ are written to the shared folder, which cuts the lineage, until none is left.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import tempfile
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,10 +33,12 @@ from ssaflow.plans.analyze import Analysis, analyze, components, defined
 VALUE, PATH, FAILURE = "__v{}", "__path", "struct<op:int,message:string>"
 #: Steps of a Column loop on each of three nested levels; rows that need more fail.
 LOOP_LEVEL = 100
-#: Supersteps of other loops.
-MOST_SUPERSTEPS = 10_000
+#: Supersteps of other loops at most, None for any number.
+MOST_SUPERSTEPS: int | None = None
 #: Frames that are united without being written first.
 MOST_UNITED = 16
+#: Bytes of rows that a direct task's worker keeps in memory; those before are in scratch files.
+HELD_BYTES = 64 << 20
 
 
 class LoopLimit(RuntimeError):
@@ -503,7 +508,7 @@ class Lowering:
         """Run the body over all active rows at a time until none is left."""
         out: list[tuple[int, Arrival]] = []
         waiting: dict[int, list[Arrival]] = defaultdict(list)
-        for turn in range(MOST_SUPERSTEPS + 1):
+        for turn in itertools.count():
             frame = self.unite(header, entering)
             df = materialise(frame.df, "superstep")
             if df.isEmpty():
@@ -591,6 +596,41 @@ class Lowering:
         return out
 
 
+class _Held:
+    """The rows that a direct task has taken, by number: it may emit any of them until its partition ends."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.batches: list[pa.RecordBatch] = []
+        self.count = self.size = self.written = 0
+        self.scratch = tempfile.TemporaryDirectory(prefix="ssaflow-held-")
+
+    def add(self, batch: pa.RecordBatch) -> int:
+        """The number of the batch's first row."""
+        first = self.count
+        self.starts.append(first)
+        self.batches.append(batch)
+        self.count, self.size = first + batch.num_rows, self.size + batch.nbytes
+        if self.size > HELD_BYTES:
+            self._write()
+        return first
+
+    def _write(self) -> None:
+        path = f"{self.scratch.name}/{self.written}"
+        with pa.ipc.new_file(path, self.batches[self.written].schema) as out:
+            for batch in self.batches[self.written :]:
+                out.write_batch(batch)
+        mapped = pa.ipc.open_file(pa.memory_map(path))
+        self.batches[self.written :] = [mapped.get_batch(k) for k in range(mapped.num_record_batches)]
+        self.written, self.size = len(self.batches), 0
+
+    def row(self, k: int) -> pa.RecordBatch:
+        if not 0 <= k < self.count:
+            raise TaskError(f"no row {k} has been given")
+        at = bisect.bisect_right(self.starts, k) - 1
+        return self.batches[at].slice(k - self.starts[at], 1)
+
+
 def _python_rows(task: Task, n_args: int, kinds: list[str], name: str):
     """Run a task's function over Arrow batches; a row's exception is its message."""
     n_out = len(kinds)
@@ -675,30 +715,50 @@ def _python_rows(task: Task, n_args: int, kinds: list[str], name: str):
             yield with_result(batch, chunked(args) if task.kind == "batch" else [stream(a) if task.kind == "stream" else one(a) for a in args])
 
     def direct(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the task's own loop pulls rows; what it emits joins the row that it names
-        held: dict[int, tuple[pa.RecordBatch, int]] = {}
-        count = 0
+        # the task's own loop pulls rows; what it emits, however late, joins the row that it names
+        held, silent = _Held(), {}
+        ended, broken = False, None
 
-        def rows():
-            nonlocal count
-            recent: list[int] = []
+        def feed():
             for batch in it:
-                for k in recent[: -batch.num_rows or None]:
-                    held.pop(k, None)
-                recent = recent[-batch.num_rows :] if batch.num_rows else recent
-                for k, args in enumerate(arguments(batch)):
-                    held[count] = (batch, k)
-                    recent.append(count)
-                    count += 1
-                    yield count - 1, packed(args)
+                if batch.num_rows:
+                    first = held.add(batch)
+                    yield from ((first + k, packed(args)) for k, args in enumerate(arguments(batch)))
+
+        source = feed()
+
+        def rows():
+            nonlocal ended, broken
+            while True:
+                try:
+                    k, args = next(source)
+                except StopIteration:
+                    ended = True
+                    return
+                except Exception as e:
+                    broken = e
+                    raise
+                silent[k] = None
+                yield k, args
 
         def emitted():
-            made = task.fn()
-            if hasattr(made, "prepare"):
-                made.prepare()
-            for context, value in made.run(rows()):
-                batch, k = held[context]
-                yield batch.slice(k, 1), bad(value) if isinstance(value, Exception) else good(value)
+            while not ended:
+                silent.clear()
+                try:
+                    made = task.fn()
+                    if hasattr(made, "prepare"):
+                        made.prepare()
+                    for context, value in made.run(rows()):
+                        yield held.row(context), bad(value) if isinstance(value, Exception) else good(value)
+                        silent.pop(context, None)
+                    return
+                except Exception as e:  # noqa: BLE001
+                    # what the loop took without an answer fails, and it starts again for the rest
+                    if broken is not None or ended and not silent:
+                        raise
+                    if not silent:
+                        next(rows(), None)
+                    yield from ((held.row(k), bad(e)) for k in list(silent))
 
         for group in chunks(emitted(), 1024):
             yield with_result(pa.Table.from_batches([b for b, _ in group]).combine_chunks().to_batches()[0], [v for _, v in group])

@@ -345,3 +345,108 @@ def test_engine_keeps_runs(spark):
     assert [r.result for r in engine.get_result(run_id).collect()] == [3]
     with pytest.raises(KeyError):
         engine.create_run("missing")
+
+
+@task("direct", inputs="int", output="int", name="descending")
+class descending:
+    """Takes its whole partition before it answers, the greatest value first."""
+
+    def run(self, rows):
+        yield from ((k, v * 10) for k, v in sorted(rows, key=lambda r: -r[1]))
+
+
+@task("direct", inputs="int", output="int", name="fragile")
+class fragile:
+    """Answers late by one row, and ends with an exception at each multiple of 7."""
+
+    def run(self, rows):
+        before = None
+        for k, v in rows:
+            if v % 7 == 0:
+                raise ValueError(f"seven divides {v}")
+            if before:
+                yield before
+            before = k, v + 1
+        if before:
+            yield before
+
+
+@task("direct", inputs="int", output="int", name="unborn")
+class unborn:
+    def __init__(self):
+        raise RuntimeError("no loop")
+
+
+@task("direct", inputs="int", output="int", name="confused")
+class confused:
+    def run(self, rows):
+        for _, v in rows:
+            yield 10_000, v
+
+
+@workflow
+def in_descending_order(v):
+    return descending(v)
+
+
+@workflow
+def late_and_fragile(v):
+    return fragile(v)
+
+
+@workflow
+def without_a_loop(v):
+    return unborn(v)
+
+
+@workflow
+def to_no_row(v):
+    return confused(v)
+
+
+@pytest.fixture
+def batches_of_ten(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    yield
+    spark.conf.set(key, old)
+
+
+def _numbers(spark, n):
+    return spark.range(n).selectExpr("id", "cast(id as int) v", "repeat('x', 50) pad").coalesce(1)
+
+
+@pytest.mark.parametrize("rows", [0, 20, 40, 95])
+def test_direct_tasks_may_answer_late(spark, batches_of_ten, rows):
+    done = run(spark, in_descending_order, _numbers(spark, rows), ["id", "pad"])
+    assert sorted((r.id, r.result, r.pad) for r in done.results.collect()) == [(k, 10 * k, "x" * 50) for k in range(rows)]
+    assert done.errors.isEmpty()
+
+
+def test_direct_tasks_that_raise_fail_what_they_took(spark, batches_of_ten):
+    done = run(spark, late_and_fragile, _numbers(spark, 45), ["id"])
+    good, bad = {r.id: r.result for r in done.results.collect()}, {r.id: r.message for r in done.errors.collect()}
+    # each exception takes its row and the one that was held back; the loop starts again for the rest
+    lost = {k: f"seven divides {j}" for j in range(0, 45, 7) for k in (j - 1, j) if k >= 0}
+    assert bad == lost
+    assert good == {k: k + 1 for k in range(45) if k not in lost}
+    for made, message in ((without_a_loop, "no loop"), (to_no_row, "no row 10000 has been given")):
+        done = run(spark, made, _numbers(spark, 25), ["id"])
+        assert done.results.isEmpty()
+        assert sorted((r.id, r.message) for r in done.errors.collect()) == [(k, message) for k in range(25)]
+
+
+def test_rows_of_direct_tasks_beyond_memory(monkeypatch):
+    import pyarrow as pa
+
+    from ssaflow.plans import lower
+
+    monkeypatch.setattr(lower, "HELD_BYTES", 500)
+    held = lower._Held()
+    assert [held.add(pa.RecordBatch.from_pydict({"a": list(range(10 * k, 10 * k + 10)), "b": [f"{k}" * 20] * 10})) for k in range(12)] == list(range(0, 120, 10))
+    assert held.written > 0
+    assert [held.row(k).to_pylist()[0] for k in (0, 57, 119)] == [{"a": 0, "b": "0" * 20}, {"a": 57, "b": "5" * 20}, {"a": 119, "b": "11" * 20}]
+    for k in (-1, 120):
+        with pytest.raises(TaskError):
+            held.row(k)

@@ -131,6 +131,10 @@ ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
 #: Sets of shingles that a worker remembers.
 KNOWN_SETS = 256
 
+#: Bits of the parities of a set of shingles, a power of two; and the 64-bit numbers that go along where all that share a
+#: shingle meet.
+SKETCH_BITS, FOLDED = 1024, 4
+
 #: Rounds in which what shares a shingle is paired with one other by chance, before all that is still apart is paired.
 CHANCE_ROUNDS = 3
 #: Pairs of a node that are compared in the first round of all that are left, and how many times more in each next one.
@@ -171,8 +175,22 @@ def prefix(hashes: np.ndarray, known: np.ndarray, ranks: np.ndarray, similarity:
     return np.concatenate([hashes[~common], hashes[common][np.argsort(ranks[at[common]])]])[:size]
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each residue of the set's hashes modulo SKETCH_BITS whether an odd number of them has it, as 64-bit numbers.
+    Two sets differ in at least as many members as their parities in bits."""
+    odd = np.bincount((hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def differ_less(x: str, y: str, similarity: float) -> str:
+    """SQL: whether sets of sizes n and m with parities x and y may be as similar; false only where they aren't."""
+    bits = f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (t, c) -> t + c)"
+    return f"{bits} <= (1 - {similarity!r}D) / (1 + {similarity!r}D) * (n + m) + 1e-9D"
+
+
 def shingle_rows(docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """doc_id, d0 and d1 (a digest of the set of shingles), n (its size) and first (its prefix); one narrow pass."""
+    """doc_id, d0 and d1 (a digest of the set of shingles), n (its size), sketch (its parities) and first (its prefix);
+    one narrow pass."""
     known, ranks = frequent(docs, width)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,10 +198,12 @@ def shingle_rows(docs: DataFrame, similarity: float, width: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
             digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64) for h in sets]).reshape(-1, 2)
             first = [prefix(h, known, ranks, similarity).view(np.int64) for h in sets]
-            cols = [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(h) for h in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "d0", "d1", "n", "first"])
+            sketch = [parities(h) for h in sets]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (sketch, first)]
+            cols = [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(h) for h in sets], pa.int32()), *lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "d0", "d1", "n", "sketch", "first"])
 
-    return docs.mapInArrow(run, "doc_id bigint, d0 bigint, d1 bigint, n int, first array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, d0 bigint, d1 bigint, n int, sketch array<bigint>, first array<bigint>")
 
 
 def can_be(similarity: float) -> str:
@@ -192,8 +212,19 @@ def can_be(similarity: float) -> str:
     return f"least(n, m) >= {similarity!r}D * greatest(n, m) - 1e-9D and least(i, j) + 1 + least(n - i - 1, m - j - 1) >= {least}"
 
 
-def alike(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Of pairs a, b of ids those whose texts' sets of shingles have at least this Jaccard similarity. docs: doc_id, text."""
+def promising(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b of ids without those whose parities show that they aren't as similar. sets: doc_id, n, sketch."""
+    left = sets.select(F.col("doc_id").alias("a"), "n", F.col("sketch").alias("x"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    return pairs.join(left, "a").join(right, "b").where(differ_less("x", "y", similarity)).select("a", "b").distinct()
+
+
+def alike(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Of pairs a, b of ids those whose texts' sets of shingles have at least this Jaccard similarity. docs: doc_id, text;
+    sets: doc_id, n, sketch of each text."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
+    # texts are long: they go only where the parities leave the pair open
+    pairs = materialise(promising(pairs, materialise(sets.join(wanted, "doc_id", "left_semi").distinct(), "similar-sets"), similarity), "similar-open")
     wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
     texts = materialise(docs.join(wanted, "doc_id", "left_semi").distinct(), "similar-texts")
 
@@ -235,24 +266,30 @@ def by_chance(named: DataFrame, similarity: float, seed: int) -> DataFrame:
     return pairs.where(can_be(similarity)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def unconnected(named: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a, b of nodes apart that share shingles and can be as similar by these."""
-    other = named.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("far"))
+def unconnected(named: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of nodes apart that share shingles and can be as similar by these and by their parities."""
+    # parities modulo a divisor are sums of parities; sets of one id that differ stay open
+    width = SKETCH_BITS // 64
+    folded = F.expr(f"transform(sequence(0, {FOLDED - 1}), k -> aggregate(sequence(k, {width - 1}, {FOLDED}), 0L, (t, i) -> t ^ element_at(sketch, i + 1)))")
+    one = sets.groupBy("doc_id").agg(F.min("sketch").alias("sketch"), F.max("sketch").alias("last")).select(F.col("doc_id").alias("node"), F.when(F.expr("sketch = last"), folded).alias("x"))
+    named = named.join(one, "node")
+    other = named.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("far"), F.col("x").alias("y"))
     pairs = named.withColumnRenamed("node", "a").join(other, "key").where("a > b and component <> far").where(can_be(similarity))
+    pairs = pairs.where(f"x is null or y is null or {differ_less('x', 'y', similarity)}")
     # what is common beyond the prefix that ends first is in the rest of that set
     rest = f"greatest(ceil({similarity!r}D * n - 1e-9D), ceil({similarity!r}D * m - 1e-9D)) - 1"
     counted = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"))
     return counted.where(f"shared + {rest} >= {similarity!r}D / (1 + {similarity!r}D) * (n + m) - 1e-9D").select("a", "b").distinct()
 
 
-def in_rounds(todo: DataFrame, linked: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+def in_rounds(todo: DataFrame, linked: DataFrame, docs: DataFrame, sets: DataFrame, similarity: float, width: int) -> DataFrame:
     """Links that connect what linked and the links among the pairs a, b of todo do: some pairs of each node are compared, what these connect needs
     no more, and so on, until each pair has been decided or connected."""
     many = ROUND_PAIRS
     while not todo.isEmpty():
         ranked = todo.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")))
         ranked = materialise(ranked, "similar-ranked")
-        linked = materialise(linked.unionByName(alike(ranked.where(F.col("rank") <= many).select("a", "b"), docs, similarity, width)), "similar-links")
+        linked = materialise(linked.unionByName(alike(ranked.where(F.col("rank") <= many).select("a", "b"), docs, sets, similarity, width)), "similar-links")
         left = ranked.where(F.col("rank") > many).select("a", "b")
         if left.isEmpty():
             break
@@ -274,6 +311,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_c
     """
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialise(shingle_rows(docs, similarity, width), "shingles")
+    sets = rows.select("doc_id", "n", "sketch")
     # equal sets of shingles have equal prefixes
     classes = with_least(rows.select("doc_id", "d0", "d1"), ["d0", "d1"], "doc_id")
     classes = materialise(classes.select("doc_id", "d0", "d1", F.col("m").alias("node")).distinct(), "shingle-classes")
@@ -291,7 +329,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_c
     near = met.where("before is not null").select("node", "n", "i", other).select(F.col("node").alias("a"), F.col("other.node").alias("b"), "n", "i", F.col("other.n").alias("m"), F.col("other.i").alias("j"))
     pairs = near.where(F.col("a") != F.col("b")).where(can_be(similarity)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tried = materialise(pairs, "similar-pairs")
-    linked = materialise(linked.unionByName(alike(tried, docs, similarity, width)), "similar-links")
+    linked = materialise(linked.unionByName(alike(tried, docs, sets, similarity, width)), "similar-links")
     met = met.select("key", "node", "n", "i")
     for seed in range(CHANCE_ROUNDS):
         # what is linked goes on as a star around each component's least
@@ -301,13 +339,13 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_c
         pairs = materialise(by_chance(met, similarity, seed).join(tried, ["a", "b"], "left_anti"), "similar-pairs")
         if pairs.isEmpty():
             break
-        linked = materialise(linked.unionByName(alike(pairs, docs, similarity, width)), "similar-links")
+        linked = materialise(linked.unionByName(alike(pairs, docs, sets, similarity, width)), "similar-links")
         tried, met = tried.unionByName(pairs), met.drop("component")
     of = components(linked, "similar-linked")
     linked = of.select(F.col("node").alias("a"), F.col("component").alias("b"))
     met = apart(met.select("key", "node", "n", "i"), of)
-    rest = materialise(unconnected(met, similarity).join(tried, ["a", "b"], "left_anti"), "similar-rest")
-    return in_rounds(rest, linked, docs, similarity, width)
+    rest = materialise(unconnected(met, sets, similarity).join(tried, ["a", "b"], "left_anti"), "similar-rest")
+    return in_rounds(rest, linked, docs, sets, similarity, width)
 
 
 def fingerprint_links(docs: DataFrame, width: int, radius: int, id_col: str, text_col: str) -> DataFrame:

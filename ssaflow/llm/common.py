@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import posixpath
 import re
 import uuid
@@ -38,6 +39,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over: it does once the driver's JVM finds their plans
+    unreachable, which may take long where the driver makes little garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder name below the shared one; it lives as long as its owner keeps checkpoints."""
     return f"{shared_root(spark)}/ssaflow/{tag}-{uuid.uuid4().hex}"

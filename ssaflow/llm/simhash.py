@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ssaflow.llm.common import materialise, word_blocks
+from ssaflow.llm.common import materialise, release, word_blocks
 from ssaflow.llm.components import components, with_least
 
 #: The seed of the shingles' hash.
@@ -317,6 +317,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_c
     classes = materialise(classes.select("doc_id", "d0", "d1", F.col("m").alias("node")).distinct(), "shingle-classes")
     copies = classes.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     linked = copies if linked is None else copies.unionByName(linked)
+    release(docs.sparkSession)
     # one text of each class goes on
     chosen = rows.join(classes.where("doc_id = node").select("doc_id", "d0", "d1"), ["doc_id", "d0", "d1"], "left_semi").dropDuplicates(["doc_id", "d0", "d1"])
     posted = chosen.select(F.col("doc_id").alias("node"), "n", F.posexplode("first").alias("i", "key"))
@@ -325,6 +326,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_c
     met = posted.select("key", "node", "n", "i", F.lag(this).over(order).alias("before"), F.first(this).over(order).alias("least"), F.lead("node").over(order).alias("after"))
     # only what shares a shingle is kept
     met = materialise(met.where("before is not null or after is not null").drop("after"), "shared-shingles")
+    release(docs.sparkSession)
     other = F.explode(F.array("before", "least")).alias("other")
     near = met.where("before is not null").select("node", "n", "i", other).select(F.col("node").alias("a"), F.col("other.node").alias("b"), "n", "i", F.col("other.n").alias("m"), F.col("other.i").alias("j"))
     pairs = near.where(F.col("a") != F.col("b")).where(can_be(similarity)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -332,6 +334,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_c
     linked = materialise(linked.unionByName(alike(tried, docs, sets, similarity, width)), "similar-links")
     met = met.select("key", "node", "n", "i")
     for seed in range(CHANCE_ROUNDS):
+        release(docs.sparkSession)
         # what is linked goes on as a star around each component's least
         of = components(linked, "similar-linked")
         linked = of.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -341,10 +344,12 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_c
             break
         linked = materialise(linked.unionByName(alike(pairs, docs, sets, similarity, width)), "similar-links")
         tried, met = tried.unionByName(pairs), met.drop("component")
+    release(docs.sparkSession)
     of = components(linked, "similar-linked")
     linked = of.select(F.col("node").alias("a"), F.col("component").alias("b"))
     met = apart(met.select("key", "node", "n", "i"), of)
     rest = materialise(unconnected(met, sets, similarity).join(tried, ["a", "b"], "left_anti"), "similar-rest")
+    release(docs.sparkSession)
     return in_rounds(rest, linked, docs, sets, similarity, width)
 
 
@@ -370,6 +375,7 @@ def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, similarity: float
         named = docs.join(heads, docs[id_col] == heads["_head"], "left_semi")
     else:
         linked = fingerprint_links(docs, width, radius, id_col, text_col)
+        release(docs.sparkSession)
         merged = components(similar_links(docs, similarity, 5, id_col, text_col, linked), "near-duplicates")
         gone = merged.where("node <> component").select(F.col("node").alias("_gone"))
         named = docs.where(F.col(id_col).isNotNull()).join(gone, docs[id_col] == gone["_gone"], "left_anti")

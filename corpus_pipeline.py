@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ssaflow.llm import mixing, packing, pii, simhash, toxicity
-from ssaflow.llm.common import materialise, read_table, small_batches
+from ssaflow.llm.common import materialise, read_table, release, small_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     The smallest id of a group stays; null, empty and blank texts are one group; rows without an id can't be named by a
     group and stay; of rows that repeat an id one stays.
     """
+    release(spark)
     small_batches(spark)
     return simhash.keep_one(docs, width=3, radius=2, similarity=0.8)
 
@@ -41,6 +42,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A null text stays null, an empty one empty; texts without personal data stay as they are; repeated rows get the
     same text each.
     """
+    release(spark)
     redacted = pii.redact(docs, pii.fit(spark))
     return redacted.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
@@ -51,6 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is a source of its own, ordered last; documents without words are taken zero times and don't come;
     repeated rows are drawn one by one.
     """
+    release(spark)
     mixed = mixing.mixed_documents(docs, share=1.5, cap=2.0, weights=(3.0, 1.0, 2.0))
     return mixed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
@@ -60,6 +63,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A null text is empty and gives one piece, the end id; a document that comes twice is packed twice under its id.
     """
+    release(spark)
     small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048)
 

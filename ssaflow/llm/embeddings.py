@@ -11,7 +11,9 @@ Distances are those of unit vectors; a cosine of c is a distance of sqrt(2 - 2c)
 directions alike, many dimensions) leave little to prune: every pair of blocks is then compared.
 
 Defined results: vectors that are null, empty, zero, or have null or non-finite components link with nothing; shorter
-vectors compare as if filled up with zeros; ties don't matter, the threshold is included; repeated rows each count.
+vectors compare as if filled up with zeros; ties don't matter, the threshold is included; repeated rows each count; rows of one
+id with different vectors are vectors of their own; a row without an id links and counts like any other, its
+component_id is null and it is kept.
 """
 
 from __future__ import annotations
@@ -236,11 +238,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     """One row per vector: id, n_links, component_id and kept."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"))
-    classes = materialise(rows.where(_valid(F.col("v"))).groupBy("v").agg(F.min("vec_id").cast("bigint").alias("rep"), F.count("*").alias("n")).where("rep is not null"), "vectors")
+    # ids may repeat or be missing: classes of equal vectors have numbers of their own, which the written table fixes
+    grouped = rows.where(_valid(F.col("v"))).groupBy("v").agg(F.min("vec_id").cast("bigint").alias("least"), F.count("*").alias("n"))
+    classes = materialise(grouped.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     shape = classes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).first()
     links, edges = _links(spark, classes, shape["n"], shape.dims, threshold) if shape["n"] else (spark.createDataFrame([], "rep bigint, links bigint"), spark.createDataFrame([], "a bigint, b bigint"))
     roots = components(edges, "vector-links").withColumnRenamed("node", "rep")
-    found = classes.join(links, "rep", "left").join(roots, "rep", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    rooted = classes.join(links, "rep", "left").join(roots, "rep", "left")
+    rooted = rooted.select("v", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("root"))
+    found = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("v", "n_links", "component_id")
     out = rows.join(found, "v", "left").withColumn("component_id", F.when(F.col("component_id").isNull() | F.col("vec_id").isNull(), F.col("vec_id")).otherwise(F.col("component_id")))
     return out.select(F.col("vec_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -74,6 +74,14 @@ def test_embeddings(spark, monkeypatch, seed, dims, block):
     assert [tuple(r) for r in embeddings.near_duplicates(df.where("vec_id = 902")).collect()] == [(902, 0, 902, True)]
 
 
+def test_repeated_and_missing_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (None, [-1.0, 0.0]), (None, [-1.0, 0.0]), (5, [-1.0, 0.01]), (None, None), (None, [0.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = sorted(((r.vec_id or 0), r.n_links, r.component_id or 0, r.kept) for r in embeddings.near_duplicates(df).collect())
+    # no component takes up the other vector of an id; what has no id counts as a partner
+    assert got == [(0, 0, 0, True), (0, 0, 0, True), (0, 2, 0, True), (0, 2, 0, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (5, 2, 5, True)]
+
+
 def test_whole_balls_link_without_comparing():
     rng = np.random.default_rng(0)
     x = rng.normal(size=16) + 0.001 * rng.normal(size=(500, 16))

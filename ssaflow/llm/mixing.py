@@ -15,8 +15,8 @@ Defined results: a null text has size 0; a null source is a source of its own, o
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +29,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 RANGE_DOCS = 2_000
 #: Sources up to so many are broadcast, a row of some hundred bytes each; more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
+#: Sources at most, as the driver holds a row for each: more raise an error.
+MOST_SOURCES = 1_000_000
 #: A source's ranges at most; ranges just grow beyond.
 MOST_RANGES = 1 << 20
 
@@ -36,18 +38,16 @@ MOST_RANGES = 1 << 20
 def share_out(sizes: Sequence[int], weights: Sequence[float], total: float, cap: float) -> list[float]:
     """Each source's part of total by weight, at most cap times its size; the excess is shared again by weight."""
     targets = [0.0] * len(sizes)
-    free = set(range(len(sizes)))
-    while free:
-        left = total - math.fsum(targets[i] for i in range(len(sizes)) if i not in free)
-        weight = math.fsum(weights[i] for i in free)
-        over = [i for i in free if weights[i] * left / weight > cap * sizes[i]]
-        if not over:
-            for i in free:
-                targets[i] = weights[i] * left / weight
+    # those with the least room for their weight are over first; sums are exact, whatever the order
+    order = sorted(range(len(sizes)), key=lambda i: cap * sizes[i] / weights[i])
+    left, weight = Fraction(total), sum(map(Fraction, weights[: len(sizes)]), Fraction(0))
+    for n, i in enumerate(order):
+        if weights[i] * float(left) / float(weight) <= cap * sizes[i]:
+            for k in order[n:]:
+                targets[k] = weights[k] * float(left) / float(weight)
             break
-        for i in over:
-            targets[i] = cap * sizes[i]
-        free -= set(over)
+        targets[i] = cap * sizes[i]
+        left, weight = left - Fraction(targets[i]), weight - Fraction(weights[i])
     return targets
 
 
@@ -84,8 +84,11 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence
         *(c.alias(n) for c, n in zip(keep, kept, strict=True)),
     )
     sized = materialise(sized, "mixing")
-    # one row for each source comes to the driver
-    totals = sorted(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r.source is None, r.source or ""))
+    # one row for each source comes to the driver, a bounded number
+    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(totals) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    totals.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [r["size"] for r in totals]
     targets = share_out(sizes, [weights[i % len(weights)] for i in range(len(totals))], share * sum(sizes), cap)
     plan = []

@@ -191,6 +191,21 @@ def test_targets(sizes):
     assert not free or max(free) - min(free) < 1e-6 * (1 + max(free))
 
 
+def test_targets_of_many_sources():
+    sizes = [1 + (k * 7919) % 10_007 for k in range(20_000)]
+    weights = [(3.0, 1.0, 2.0)[k % 3] for k in range(len(sizes))]
+    targets = mixing.share_out(sizes, weights, 1.9 * sum(sizes), 2.0)
+    assert abs(sum(targets) - 1.9 * sum(sizes)) < 1e-6 * sum(sizes)
+    assert all(t <= 2 * s + 1e-9 for t, s in zip(targets, sizes, strict=True))
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    df = spark.createDataFrame([(k, f"s{k}", "a b c") for k in range(3)], "doc_id bigint, source string, text string")
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(df)
+
+
 def test_mixing(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_DOCS", 4)
     rows, df = documents(spark, rows=120)

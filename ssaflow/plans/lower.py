@@ -5,7 +5,8 @@ among them: each edge has a predicate, phis are CASE expressions, and nothing is
 Python or makes more rows, the rows that come there are filtered out, run, and go on as a frame of their own.
 
 Loops over literals alone are folded on the driver. Loops of Column forms become nested aggregations over constant
-sequences, which stop at a row's exit and need no further job. Other loops run in supersteps: the rows still active
+sequences, which stop at a row's exit and need no further job. Loops of functions that make no rows run to each row's
+exit in one pass over Arrow batches. Other loops run in supersteps: the rows still active
 are written to the shared folder, which cuts the lineage, until none is left.
 """
 
@@ -41,6 +42,12 @@ MOST_UNITED = 16
 HELD_BYTES = 64 << 20
 
 
+#: Types whose values Python carries as Spark does, those of integers with their bits.
+EXACT = {"boolean": 0, "string": 0, "int": 32, "bigint": 64}
+#: The exit of rows that a loop over single rows leaves to supersteps.
+AGAIN = -2
+
+
 class LoopLimit(RuntimeError):
     """A loop with Python tasks or new rows took too many supersteps."""
 
@@ -95,7 +102,7 @@ class Lowering:
         self.streams = any(op.call and registry.get(op.call.task_id).kind == "stream" for k, op in enumerate(wf.operations) if k in self.a.reachable)
         self.params = params
         self.returns: list[tuple[Frame, Column | None, int | None]] = []
-        self.failures: list[tuple[Frame, Column | None, int, Column]] = []
+        self.failures: list[tuple[Frame, Column | None, int | Column, Column]] = []
 
     # ---- the frame -------------------------------------------------------------------------------------------------
 
@@ -321,6 +328,8 @@ class Lowering:
             return folded
         if self.columnar(header, ops):
             return self.column_loop(header, ops, entering)
+        if self.row_local(header, ops):
+            return self.row_loop(header, ops, entering)
         return self.supersteps(header, ops, entering)
 
     def fold(self, header: int, ops: set[int], entering: list[Arrival]) -> list[tuple[int, Arrival]] | None:
@@ -504,12 +513,49 @@ class Lowering:
         env = outside | {v: s[f"f{v}"] for v in fields}
         return walk(0, env, {header: [(None, None)]}, F.lit(-1), F.lit(None).cast(FAILURE), [])
 
-    def supersteps(self, header: int, ops: set[int], entering: list[Arrival]) -> list[tuple[int, Arrival]]:
-        """Run the body over all active rows at a time until none is left."""
+    def row_local(self, header: int, ops: set[int]) -> bool:
+        """Whether a loop makes no rows and has plain functions only, over values that are the same in Python."""
+        mine = [self.wf.operations[k] for k in ops]
+        if any(isinstance(o.next, ir.Return) for o in mine):
+            return False
+        tasks = [self.registry.get(o.call.task_id) for o in mine if o.call]
+        made = {v for o in mine for v in defined(o)} | set(self.live(header))
+        return all(t.kind in ("single", "batch") and t.fn is not None and not is_async(t) for t in tasks) and all(self._kind(v) in EXACT for v in made)
+
+    def row_loop(self, header: int, ops: set[int], entering: list[Arrival]) -> list[tuple[int, Arrival]]:
+        """Run each row's turns to its exit in one pass; a row whose values Python can't carry as Spark does goes by supersteps."""
+        start = self.unite(header, entering)
+        given = [v for v in self.live(header) if v not in start.consts]
+        within = {v for k in ops for v in defined(self.wf.operations[k])}
+        exits = [(k, s) for k in sorted(ops) for s in self.wf.operations[k].successors() if s not in ops]
+        after = {v for _, s in exits for v in self.a.live_in[s]} | {v for k, s in exits for p in self.wf.operations[s].phis for b, v in p.sources if b == k}
+        fields = sorted(after & within)
+        kinds = {v: self._kind(v) for v in within | set(given)}
+        df = start.df.select("*", F.struct(*(start.env[v].alias(f"a{v}") for v in given), F.lit(None).cast("int").alias("a")).alias("__args"))
+        ended = T._parse_datatype_string(f"struct<{', '.join([*(f'f{v}: {kinds[v]}' for v in fields), 'exit: int, op: int, message: string'])}>")
+        name = f"__l{header}"
+        schema = T.StructType([*(f for f in df.schema.fields if f.name != "__args"), T.StructField(name, ended)])
+        tasks = {k: self.registry.get(self.wf.operations[k].call.task_id) for k in ops if self.wf.operations[k].call}
+        turned = _loop_rows({k: self.wf.operations[k] for k in ops}, tasks, header, given, dict(start.consts), fields, kinds, exits, ended, name)
+        # exits, failures and what goes by supersteps read it: Python shall not run for each
+        frame = self.written(Frame(df.mapInArrow(turned, schema), dict(start.env), dict(start.consts)))
+        end = F.col(name)
+        self.failures.append((frame, end["message"].isNotNull(), end["op"], end["message"]))
+        out: list[tuple[int, Arrival]] = []
+        rest = frame.df.where(end["exit"] == AGAIN)
+        if not rest.isEmpty():
+            out += self.supersteps(header, ops, [], Frame(rest, dict(start.env), dict(start.consts)))
+        for v in fields:
+            frame.env[v] = end[f"f{v}"]
+            frame.consts.pop(v, None)
+        return out + [(s, Arrival(k, frame, frame.bind(F.coalesce(end["exit"] == n, F.lit(False))))) for n, (k, s) in enumerate(exits)]
+
+    def supersteps(self, header: int, ops: set[int], entering: list[Arrival], start: Frame | None = None) -> list[tuple[int, Arrival]]:
+        """Run the body over all active rows at a time until none is left. start has them where they are at the header already."""
         out: list[tuple[int, Arrival]] = []
         waiting: dict[int, list[Arrival]] = defaultdict(list)
         for turn in itertools.count():
-            frame = self.unite(header, entering)
+            frame = start if start and not turn else self.unite(header, entering)
             df = materialise(frame.df, "superstep")
             if df.isEmpty():
                 break
@@ -589,7 +635,7 @@ class Lowering:
         out = None
         for frame, when, at, message in self.failures:
             rows = frame.df if when is None else frame.df.where(when)
-            part = rows.select(*self.named(), F.lit(at).alias("op"), message.cast("string").alias("message"))
+            part = rows.select(*self.named(), (at if isinstance(at, Column) else F.lit(at)).alias("op"), message.cast("string").alias("message"))
             out = part if out is None else out.unionByName(part)
         if out is None:
             out = self.root.limit(0).select(*(F.col(f"`{c}`") for c in self.keep), *([F.array().cast("array<bigint>").alias("ctx_path")] if self.streams else []), F.lit(0).alias("op"), F.lit("").alias("message"))
@@ -764,3 +810,100 @@ def _python_rows(task: Task, n_args: int, kinds: list[str], name: str):
             yield with_result(pa.Table.from_batches([b for b, _ in group]).combine_chunks().to_batches()[0], [v for _, v in group])
 
     return run
+
+
+def _same(value, kind: str) -> bool:
+    """Whether a value that Python has made is one of the type as it stands."""
+    if value is None:
+        return True
+    if bits := EXACT[kind]:
+        return type(value) is int and -(1 << bits - 1) <= value < 1 << bits - 1
+    return type(value) is (bool if kind == "boolean" else str)
+
+
+def _loop_rows(ops: dict[int, ir.Operation], tasks: dict[int, Task], header: int, given: list[int], consts: dict, fields: list[int], kinds: dict[int, str], exits: list[tuple[int, int]], ended: T.StructType, name: str):
+    """Run a loop for each row of Arrow batches, and give its exit, the values after it, or its failure."""
+    exit_of = {e: n for n, e in enumerate(exits)}
+    literals = {k: {x.output: ir.parse_literal(x.value, x.type)[0] for x in op.literals} for k, op in ops.items()}
+    phis = {k: [(p.output, dict(p.sources)) for p in op.phis] for k, op in ops.items()}
+    nothing = {**{f"f{v}": None for v in fields}, "exit": -1, "op": None, "message": None}
+
+    def results(at: int, ready: list[tuple[int, tuple]]) -> Iterator:
+        """The task's result or exception for each row; batches are as large as what waits here."""
+        task = tasks[at]
+        if task.kind == "single":
+            for _, args in ready:
+                try:
+                    yield task.fn(*args)
+                except Exception as e:  # noqa: BLE001  whatever a task raises fails its row
+                    yield e
+            return
+        for chunk in chunks(ready, task.batch_size):
+            try:
+                made = list(call_plainly(task, [[packed(args) for _, args in chunk]]))
+                if len(made) != len(chunk):
+                    raise TaskError(f"{len(made)} results for {len(chunk)} rows")
+            except Exception as e:  # noqa: BLE001
+                made = [e] * len(chunk)
+            yield from made
+
+    def called(at: int, here: list[int], rows: list[dict], done: list) -> list[int]:
+        """The rows that go on after the call."""
+        task, call, left = tasks[at], ops[at].call, []
+        ready = [(r, tuple(rows[r][v] for v in call.inputs)) for r in here]
+        for r, args in ready:
+            if task.pure and None in args:
+                done[r] = nothing | {"exit": AGAIN}
+        ready = [x for x in ready if done[x[0]] is None]
+        for (r, _), value in zip(ready, results(at, ready), strict=True):
+            try:
+                if isinstance(value, Exception):
+                    raise value
+                made = unpacked(value, len(call.outputs))
+            except Exception as e:  # noqa: BLE001
+                done[r] = nothing | ({"exit": AGAIN} if task.pure else {"op": at, "message": str(e) or type(e).__name__})
+                continue
+            if not all(_same(x, kinds[v]) for v, x in zip(call.outputs, made, strict=True)):
+                done[r] = nothing | {"exit": AGAIN}
+                continue
+            rows[r].update(zip(call.outputs, made, strict=True))
+            left.append(r)
+        return left
+
+    def turned(rows: list[dict]) -> list[dict]:
+        done: list = [None] * len(rows)
+        came: list = [None] * len(rows)
+        waiting = {header: list(range(len(rows)))} if rows else {}
+        while waiting:
+            at = max(waiting, key=lambda k: len(waiting[k]))
+            here, op = waiting.pop(at), ops[at]
+            for r in here:
+                if phis[at] and came[r] is not None:
+                    rows[r].update([(v, rows[r][sources[came[r]]]) for v, sources in phis[at]])
+                rows[r].update(literals[at])
+            for r in called(at, here, rows, done) if op.call else here:
+                try:
+                    following = interp.following(op, rows[r])
+                except TypeError as e:
+                    done[r] = nothing | {"op": at, "message": str(e)}
+                    continue
+                if following in ops:
+                    came[r] = at
+                    waiting.setdefault(following, []).append(r)
+                else:
+                    done[r] = {**{f"f{v}": rows[r].get(v) for v in fields}, "exit": exit_of[at, following], "op": None, "message": None}
+        return done
+
+    kind = to_arrow_type(ended)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task in tasks.values():
+            if task.prepare:
+                task.prepare()
+        for batch in it:
+            args = batch.column(batch.schema.get_field_index("__args")).to_pylist()
+            made = turned([{**consts, **{v: r[f"a{v}"] for v in given}} for r in args])
+            rest = batch.select([n for n in batch.schema.names if n != "__args"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(made, kind)], [*rest.schema.names, name])
+
+    return run

@@ -286,7 +286,7 @@ def nested_loops(v):
 
 @workflow
 def python_loop(v):
-    # the loop's body needs Python: supersteps over the active rows
+    # the loop's body needs Python: one pass, to each row's exit
     i = 0
     while less_than(i, v):
         i = add(batch_task(i), 1)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import posixpath
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +43,35 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of jobs that are over: it does once the driver's JVM finds their plans
-    unreachable, which may take long where the driver makes little garbage."""
+    unreachable, which may take long where the driver makes little garbage. Executors collect theirs too: only a full
+    collection lets a heap that earlier jobs have stretched shrink again."""
+    context = spark.sparkContext
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    context._jvm.System.gc()
+    if not context._jsc.sc().isLocal():
+        n = context.defaultParallelism
+        spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
+def _trim() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A task's function for mapInArrow, in a worker that holds no memory that is free: workers are used again and
+    outlive their tasks, so what earlier ones needed at most, vocabularies and batches, would stay beside the JVM."""
+
+    @functools.wraps(run)
+    def trimmed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _trim()
+        yield from run(it)
+        _trim()
+
+    return trimmed
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ssaflow.llm.common import materialise
+from ssaflow.llm.common import lean, materialise
 from ssaflow.llm.tokens import byte_alphabet
 
 #: Chunks, and pieces, whose ids a worker remembers, and the characters of the longest of them.
@@ -224,7 +224,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, window: int =
     kind = dict(docs.dtypes)[id_col]
     plain = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     run = _pack_partition(vocabulary, end_id, window, open_windows)
-    placed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"{plain}, merge_group bigint")
+    placed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"{plain}, merge_group bigint")
     # tokenised once: the closed sequences are the result, the open ones are packed again
     placed = materialise(placed, "packing")
     closed = placed.where(F.col("merge_group").isNull()).select(COLUMNS)

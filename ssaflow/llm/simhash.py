@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ssaflow.llm.common import materialise, release, word_blocks
+from ssaflow.llm.common import lean, materialise, release, word_blocks
 from ssaflow.llm.components import components, with_least
 
 #: The seed of the shingles' hash.
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
             fp = majority([shingle_hashes(t, width) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, fp bigint")
 
 
 def ball(radius: int) -> str:
@@ -155,7 +155,7 @@ def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
     share = min(1.0, ORDER_DOCS / max(1, docs.count()))
     sample = docs.where(F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * share)).select("text")
-    counts = sample.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    counts = sample.mapInArrow(lean(run), "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     rows = counts.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
     hashes, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order, ranks = np.argsort(hashes), np.empty(len(n), np.int64)
@@ -203,7 +203,7 @@ def shingle_rows(docs: DataFrame, similarity: float, width: int) -> DataFrame:
             cols = [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(h) for h in sets], pa.int32()), *lists]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "d0", "d1", "n", "sketch", "first"])
 
-    return docs.mapInArrow(run, "doc_id bigint, d0 bigint, d1 bigint, n int, sketch array<bigint>, first array<bigint>")
+    return docs.mapInArrow(lean(run), "doc_id bigint, d0 bigint, d1 bigint, n int, sketch array<bigint>, first array<bigint>")
 
 
 def can_be(similarity: float) -> str:
@@ -247,7 +247,7 @@ def alike(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similarity: float,
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("at")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("bt"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "at", "bt").mapInArrow(run, "a bigint, b bigint").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "at", "bt").mapInArrow(lean(run), "a bigint, b bigint").distinct()
 
 
 def apart(met: DataFrame, of: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ssaflow.llm.common import materialise, pack, unpack
+from ssaflow.llm.common import lean, materialise, pack, unpack
 
 #: Labelled rows of each label that the fit samples, about: they tell what terms depend on the label, and calibrate.
 SAMPLE_ROWS = 5_000
@@ -326,7 +326,7 @@ def _examples(sample: DataFrame) -> list[tuple]:
     for y in (0, 1):
         last = sample.where(F.col("y") == y).select("rank").orderBy("rank").limit(EXAMPLES).agg(F.max("rank")).first()[0]
         first = sample.where((F.col("y") == y) & (F.col("rank") <= (last if last is not None else 0)))
-        counted = materialise(first.select("doc_id", "y", "rank", "text").mapInArrow(run, f"doc_id {kind}, y int, rank bigint, size bigint, terms array<string>, n array<bigint>"), "toxicity-examples")
+        counted = materialise(first.select("doc_id", "y", "rank", "text").mapInArrow(lean(run), f"doc_id {kind}, y int, rank bigint, size bigint, terms array<string>, n array<bigint>"), "toxicity-examples")
         sizes = sorted((r["rank"], r.doc_id, r["size"]) for r in counted.select("rank", "doc_id", "size").collect())
         total, last = 0, None
         for at, doc, size in sizes:
@@ -367,7 +367,7 @@ def document_frequencies(rows: DataFrame, vocabulary, slices: int) -> dict[int,
                 total = x if total is None else total + x
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([pack(total)], pa.binary())], ["g", "part", "n"])
 
-    counted = rows.select("g", "text").mapInArrow(run, "g int, part int, n binary").groupBy("g", "part").applyInArrow(add, "g int, part int, n binary")
+    counted = rows.select("g", "text").mapInArrow(lean(run), "g int, part int, n binary").groupBy("g", "part").applyInArrow(add, "g int, part int, n binary")
     found: dict[int, dict[int, np.ndarray]] = {}
     for r in counted.collect():
         found.setdefault(r.g, {})[r.part] = unpack(bytes(r.n))[0]
@@ -425,7 +425,7 @@ def _calibrate(model: ToxicityModel, sample: DataFrame, share: float) -> None:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.float64())], ["y", "raw"])
 
     # bounded by the sample
-    voted = sample.select("y", "text").mapInArrow(run, "y int, raw double").collect()
+    voted = sample.select("y", "text").mapInArrow(lean(run), "y int, raw double").collect()
     n1 = sum(r.y for r in voted)
     # the sample has the labels in other shares than the corpus: each row weighs by its label's share
     weight = {1: share / max(1, n1), 0: (1 - share) / max(1, len(voted) - n1)}
@@ -448,7 +448,7 @@ def reject(docs: DataFrame, model: ToxicityModel, text_col: str = "text", thresh
         for batch in it:
             yield batch.filter(pa.array([s < threshold for s, _ in held.score(batch.column(at).to_pylist(), counter, known)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -465,5 +465,5 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "held_out", "score", "evidence"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, evidence array<{kind}>")
+    scored = rows.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, score double, evidence array<{kind}>")
     return scored.select(F.col("doc_id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

@@ -20,8 +20,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text scores as texts without any learnt term do, and stays; equal texts share their fate; repeated
     rows stay or go together; without usable labels nothing goes, unless all labels are 1.
     """
+    release(spark)
     small_batches(spark)
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    release(spark)
     return toxicity.reject(docs, model)
 
 

@@ -44,9 +44,10 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of jobs that are over: it does once the driver's JVM finds their plans
     unreachable, which may take long where the driver makes little garbage. Executors collect theirs too: only a full
-    collection lets a heap that earlier jobs have stretched shrink again."""
+    collection lets a heap that earlier jobs have stretched shrink again. The driver's Python gives back what it freed."""
     context = spark.sparkContext
     gc.collect()
+    _trim()
     context._jvm.System.gc()
     if not context._jsc.sc().isLocal():
         n = context.defaultParallelism

@@ -45,3 +45,12 @@ def test_operators_tasks_are_lean(spark, monkeypatch):
     assert simhash.shingle_rows(docs, 0.8, 5).count() == 2 and len(seen) == 3
     model = toxicity.ToxicityModel({}, None, None, 0.0, ([], []))
     assert toxicity.reject(docs, model).count() == 2 and len(seen) == 4
+
+
+def test_the_driver_gives_back_on_release(spark):
+    resident_mb, hungry = _functions()
+    before = resident_mb()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["x"])
+    assert list(hungry(iter([batch]))) == [batch]
+    common.release(spark)
+    assert resident_mb() - before < 60
